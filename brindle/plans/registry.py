@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from brindle.plans import problems
+from brindle.plans import problems, reception_queries
 
 FLAGSHIP = "p1_found"
-_MODULES = (problems,)
+_MODULES = (problems, reception_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -71,7 +71,7 @@ def main(args: list[str]) -> None:
     root = "/root/testdata/sf0.01"
     if args[:1] == ["--dir"]:
         root, args = args[1], args[2:]
-    spark = get_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = get_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     queries, sql, bad = entry.queries(), entry.oracle_sql(), []
     for name in args or queries:
