@@ -1,7 +1,7 @@
 """Reading level of each document: a familiar-word formula whose word list comes from the corpus itself.
 
 A document's language is that whose most frequent words cover it best (the given `lang` is sometimes missing or
-wrong). Words are familiar by the share of documents of the language that hold them. The formula combines the
+wrong). Words are familiar by the share of the documents given as of that language that hold them. The formula combines the
 share of words outside the list at several familiarities, sentence length and word length; its weights are fitted by
 ridge-penalised multinomial logistic regression on labelled documents (at most `max_labels`, see `ReadingModel`).
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.mixing import language
+from brindle.session import cut
 
 BANDS = (1, 2, 3)
 MIN_WORDS = 80
@@ -36,12 +37,13 @@ PROFILE = 60  # most frequent words that tell a language
 LANGUAGES = 16  # most frequent languages that are told apart
 FEATURES = len(LEVELS) + 5
 
-_DROP = re.compile(
-    r"\[[^\]]{0,300}\]|\([^)]{0,300}\)|(?<=\d)[.,](?=\d)|\b[A-Z]\."
-    r"|\b(?:Art|para|No|approx|p|dist|hon|Mr|Mrs|Dr|Ms|St|vgl|Abs|Nr|ca|bzw|Mme|art|al|env|cf)\."
+_DROP = re.compile(r"\[[^\]]{0,300}\]|\([^)]{0,300}\)")
+_WORD = re.compile(r"[^\W\d_][\w'’-]*")
+_END = re.compile(r"[.!?…]+[\"»”’)]*\s+|\n\s*\n")
+#: Words whose full stop ends no sentence (fixed values), beside single letters.
+ABBREVIATIONS = frozenset(
+    "art para no approx p dist hon mr mrs dr ms st vgl abs nr ca bzw mme al env cf".split()
 )
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?…]+(?=\s|$)|\n\s*\n")
-_ENDS = frozenset(".!?…\n")
 
 
 def words_and_sentences(text: str) -> tuple[list[str], list[int]]:
@@ -49,86 +51,109 @@ def words_and_sentences(text: str) -> tuple[list[str], list[int]]:
     words: list[str] = []
     lengths: list[int] = []
     begun = 0
-    for t in _TOKEN.findall(_DROP.sub(" ", text)):
-        if t[0] in _ENDS:
-            if len(words) > begun:
-                lengths.append(len(words) - begun)
-                begun = len(words)
-        else:
-            words.append(t.lower())
+    find = _WORD.findall
+    for part in _END.split(_DROP.sub(" ", text.lower())):
+        more = find(part)
+        if more:
+            words += more
+            last = more[-1]
+            if (len(last) == 1 or last in ABBREVIATIONS) and part.endswith(last):
+                continue  # the full stop belongs to the word: the sentence goes on
+        if len(words) > begun:
+            lengths.append(len(words) - begun)
+            begun = len(words)
     if len(words) > begun:
         lengths.append(len(words) - begun)
     return words, lengths
 
 
-def _document_frequencies(key) -> object:
-    """mapInArrow function: (lang, word, n) partial document frequencies and, as the word '', numbers of documents."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-
-        def out() -> pa.RecordBatch:
-            rows = [(g, w, n) for g, c in counts.items() for w, n in c.items()]
-            counts.clear()
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    words = set(words_and_sentences(text)[0])
-                    if words:
-                        c = counts.setdefault(key(lang, words), Counter())
-                        c.update(words)
-                        c[""] += 1
-            if sum(map(len, counts.values())) > 200_000:
-                yield out()
-        yield out()
-
-    return run
-
-
-def _frequencies(documents: DataFrame, key) -> DataFrame:
-    """(lang, word, n, docs, share) over all documents; documents: (lang, text)."""
-    counts = documents.mapInArrow(_document_frequencies(key), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    sizes = counts.filter(F.col("word") == "").select(F.col("lang").alias("__lang"), F.col("n").alias("docs"))
-    return counts.filter(F.col("word") != "").join(sizes, F.col("lang") == F.col("__lang")).drop("__lang").withColumn("share", F.col("n") / F.col("docs"))
-
-
-def language_profiles(documents: DataFrame) -> dict[str, frozenset[str]]:
-    """The PROFILE most frequent words of each of the LANGUAGES most frequent languages."""
-    rows = _frequencies(documents, lambda lang, words: lang).filter((F.col("lang") != "und") & (F.col("share") >= 0.05))
-    found: dict[str, tuple[int, list]] = {}
-    for r in rows.collect():  # at most (mean distinct words) / 0.05 a language
-        found.setdefault(r["lang"], (r["docs"], []))[1].append((-r["n"], r["word"]))
-    most = sorted(found.items(), key=lambda kv: (-kv[1][0], kv[0]))[:LANGUAGES]
-    return {lang: frozenset(w for _, w in sorted(words)[:PROFILE]) for lang, (_, words) in most}
-
-
-def best_language(words: Iterable[str], profiles: dict[str, frozenset[str]]) -> str:
-    words = list(words)
-    scored = [(sum(w in p for w in words), lang) for lang, p in sorted(profiles.items())]
-    return max(scored, key=lambda s: s[0])[1] if scored and max(s[0] for s in scored) else "und"
-
-
-def features_of(text: str | None, profiles: dict, lists: dict[str, dict[str, float]]) -> list[float] | None:
-    if not text:
-        return None
-    words, lengths = words_and_sentences(text)
-    if not words:
-        return None
-    known = lists.get(best_language(set(words), profiles), {})
-    share = np.fromiter((known.get(w, 0.0) for w in words), dtype=float, count=len(words))
-    n = np.array(lengths, dtype=float)
-    out = [float((share < h).mean()) for h in LEVELS]
-    out += [
-        float(np.log(n.mean())),
-        float(np.log((n * n).sum() / n.sum())),
-        float(np.fromiter(map(len, words), dtype=float, count=len(words)).mean()),
-        float(np.log(share + 1e-4).mean()),
-        float((n > 25).mean()),
+def _document_frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function over (lang, text): (lang, word, n) partial document frequencies; the word '' counts documents."""
+    counts: dict[str, Counter] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(g, w, n) for g, c in counts.items() for w, n in c.items()]
+        counts.clear()
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if text:
+                words = set(words_and_sentences(text)[0])
+                if words:
+                    words.add("")
+                    counts.setdefault(lang, Counter()).update(words)
+        if sum(map(len, counts.values())) > 200_000:
+            yield out()
+    yield out()
+
+
+class _Shares(dict):
+    """Familiarity of words; 0 for those in no list."""
+
+    def __missing__(self, word: str) -> float:
+        return 0.0
+
+
+class WordLists:
+    """Familiar words by language, and the most frequent of them, by which a text's language is told."""
+
+    def __init__(self, shares: dict[str, dict[str, float]], sizes: dict[str, int]):
+        most = sorted(shares, key=lambda g: (-sizes[g], g))[:LANGUAGES]
+        self.shares = {g: _Shares(shares[g]) for g in most}
+        self.profiles = {g: frozenset(sorted(shares[g], key=lambda w: (-shares[g][w], w))[:PROFILE]) for g in most}
+
+    @classmethod
+    def of(cls, texts: DataFrame) -> WordLists:
+        """From the document frequencies of all (lang, text); documents of no known language are counted as `und`."""
+        counts = cut(texts.mapInArrow(_document_frequencies, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+        sizes = {r["lang"]: r["n"] for r in counts.filter((F.col("word") == "") & (F.col("lang") != "und")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+        shares: dict[str, dict[str, float]] = {g: {} for g in sizes}
+        for g, n in sizes.items():
+            kept = counts.filter((F.col("lang") == g) & (F.col("word") != "") & (F.col("n") >= F.lit(LISTED * n)))
+            shares[g] = {r["word"]: r["n"] / n for r in kept.collect()}  # bounded: see LISTED
+        return cls(shares, sizes)
+
+    def language(self, words: set[str]) -> str | None:
+        best, found = 0, None
+        for g, p in self.profiles.items():
+            if (n := len(p & words)) > best:
+                best, found = n, g
+        return found
+
+
+def features_of(texts: list[str | None], lists: WordLists) -> tuple[np.ndarray, np.ndarray]:
+    """(index, features) of the texts that hold words, computed for all of them together."""
+    at, share, n_words, letters, sentences, n_sentences = [], [], [], [], [], []
+    none = _Shares()
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        words, lengths = words_and_sentences(text)
+        if words:
+            at.append(i)
+            known = lists.shares.get(lists.language(set(words)), none)
+            share += map(known.__getitem__, words)
+            n_words.append(len(words))
+            letters.append(len("".join(words)))
+            sentences += lengths
+            n_sentences.append(len(lengths))
+    if not at:
+        return np.zeros(0, dtype=np.int64), np.zeros((0, FEATURES))
+    x, n = np.array(share), np.array(n_words, dtype=float)
+    first = np.concatenate([[0], np.cumsum(n_words)[:-1]])
+    s, m = np.array(sentences, dtype=float), np.array(n_sentences, dtype=float)
+    begin = np.concatenate([[0], np.cumsum(n_sentences)[:-1]])
+    columns = [np.add.reduceat((x < h).astype(float), first) / n for h in LEVELS]
+    columns += [
+        np.log(n / m),
+        np.log(np.add.reduceat(s * s, begin) / n),
+        np.array(letters) / n,
+        np.add.reduceat(np.log(x + 1e-4), first) / n,
+        np.add.reduceat((s > 25).astype(float), begin) / m,
     ]
-    return out
+    return np.array(at, dtype=np.int64), np.stack(columns, axis=1)
 
 
 def fit_bands(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 600) -> dict:
@@ -161,57 +186,43 @@ class ReadingModel:
     min_words: int = MIN_WORDS
     max_labels: int = 10_000
 
-    def _lists(self, texts: DataFrame) -> tuple[dict, dict]:
-        profiles = language_profiles(texts)
-        rows = _frequencies(texts, lambda lang, words: best_language(words, profiles)).filter(F.col("share") >= LISTED)
-        lists: dict[str, dict[str, float]] = {}
-        for r in rows.select("lang", "word", "share").collect():  # bounded: see LISTED
-            lists.setdefault(r["lang"], {})[r["word"]] = r["share"]
-        return profiles, lists
-
     def levels(self, documents: DataFrame, labels: DataFrame) -> DataFrame:
         """(doc_id, band, unfamiliar, sentence_words, word_letters) of all documents; band NULL where there is no level."""
-        texts = documents.select(language(F.col("lang")).alias("lang"), F.col("text"))
-        profiles, lists = self._lists(texts)
-        spark = documents.sparkSession
-        shared = spark.sparkContext.broadcast((profiles, lists))
+        lists = WordLists.of(documents.select(language(F.col("lang")).alias("lang"), F.col("text")))
+        shared = documents.sparkSession.sparkContext.broadcast(lists)  # bounded: see LISTED and LANGUAGES
 
-        @F.arrow_udf("array<double>")
-        def features(column: pa.Array) -> pa.Array:
-            profiles, lists = shared.value
-            return pa.array([features_of(t, profiles, lists) for t in column.to_pylist()], pa.list_(pa.float64()))
+        def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, x = features_of(batch.column(0).to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).take(pa.array(at))], ["x", "band"])
 
         chosen = (
             labels.filter(F.col("band").isin(*BANDS))
-            .select("doc_id", "band")
+            .select("doc_id", F.col("band").cast("int").alias("band"))
             .orderBy(F.xxhash64("doc_id", "band"), "doc_id", "band")
             .limit(self.max_labels)
         )
-        known = documents.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", features("text").alias("x"), "band")
-        rows = sorted((r["doc_id"], r["band"], r["x"]) for r in known.collect() if r["x"] is not None)
-        model = fit_bands(np.array([r[2] for r in rows]), np.array([r[1] for r in rows])) if rows else None
+        known = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "band")
+        rows = sorted((r["band"], tuple(r["x"])) for r in known.mapInArrow(features, "x array<double>, band int").collect())
+        model = fit_bands(np.array([r[1] for r in rows]), np.array([r[0] for r in rows])) if rows else None
         least = self.min_words
 
-        @F.arrow_udf("struct<band int, unfamiliar double, sentence_words double, word_letters double>")
-        def level(column: pa.Array) -> pa.Array:
-            profiles, lists = shared.value
-            kinds = [("band", pa.int32()), ("unfamiliar", pa.float64()), ("sentence_words", pa.float64()), ("word_letters", pa.float64())]
-            texts = column.to_pylist()
-            x = [features_of(t, profiles, lists) for t in texts]
-            at = [i for i, v in enumerate(x) if v is not None]
-            bands: list[int | None] = [None] * len(texts)
-            if at and model is not None:
-                for i, b in zip(at, predict_bands(model, np.array([x[i] for i in at]))):
-                    bands[i] = int(b) if len(texts[i].split()) >= least else None
-            columns = [
-                bands,
-                [v[3] if v else None for v in x],
-                [float(np.exp(v[len(LEVELS)])) if v else None for v in x],
-                [v[len(LEVELS) + 2] if v else None for v in x],
-            ]
-            return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], [n for n, _ in kinds])
-
-        return documents.select("doc_id", level(F.col("text")).alias("l")).select("doc_id", "l.*")
+        def level(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                at, x = features_of(texts, shared.value)
+                bands: list[int | None] = [None] * len(texts)
+                values: list[list[float | None]] = [[None] * len(texts) for _ in range(3)]
+                found = predict_bands(model, x) if model is not None and len(at) else np.zeros(len(at))
+                for k, i in enumerate(at):
+                    if model is not None and len(texts[i].split()) >= least:
+                        bands[i] = int(found[k])
+                    values[0][i], values[1][i], values[2][i] = x[k, 3], float(np.exp(x[k, len(LEVELS)])), x[k, len(LEVELS) + 2]
+                columns = [batch.column(0), pa.array(bands, pa.int32()), *[pa.array(v, pa.float64()) for v in values]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "band", "unfamiliar", "sentence_words", "word_letters"])
+
+        schema = "doc_id long, band int, unfamiliar double, sentence_words double, word_letters double"
+        return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(level, schema)
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, model: ReadingModel = ReadingModel()) -> DataFrame:
