@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.config import Settings
+from brindle.operators.local import LOCAL_ROWS, bounded, trust
 from brindle.session import cut
 
 
@@ -58,12 +60,14 @@ def eigentrust(
     transmit: DataFrame | None = None,
     seeds: DataFrame | None = None,
     clip: float | None = None,
+    local_rows: int | None = None,
 ) -> DataFrame:
     """(user_id, lambda) summing to 1: trust flowing along edges, with teleport (1 - delta).
 
     transmit: (src, w) share of its weight a rater passes on. seeds: (user_id, p) teleport distribution (default
     uniform). clip: largest weight a rater may pass on, as a multiple of 1/n. With iterations None it runs until
-    no weight moves by more than the tolerance, which is looked at every fifth step; else exactly that often.
+    no weight moves by more than the tolerance, which is looked at every fifth step; else exactly that often. Up to
+    local_rows edges (default `local.LOCAL_ROWS`) it runs in memory.
     """
     edges = edges if transmit is None else edges.join(transmit, "src").select("src", "dst", (F.col("t") * F.col("w")).alias("t"))
     edges = cut(edges.select("src", "dst", "t").filter(F.col("t") > 0))
@@ -73,6 +77,8 @@ def eigentrust(
     base = users.select("user_id") if seeds is None else users.select("user_id").join(seeds.select("user_id", "p"), "user_id", "left")
     tele = F.lit(1.0 / n) if seeds is None else F.coalesce("p", F.lit(0.0))
     base = cut(base.select("user_id", tele.alias("p")))
+    if bounded(edges, local_rows) and n <= LOCAL_ROWS:
+        return _trust_in_memory(base, edges, s, iterations, clip)
     now = base.select("user_id", F.lit(1.0 / n).alias("lambda"))
     total, steps = 1.0, iterations if iterations is not None else s.trust_iterations
     for k in range(steps):
@@ -96,6 +102,17 @@ def eigentrust(
     return now.select("user_id", (F.col("lambda") / F.lit(total)).alias("lambda"))
 
 
+def _trust_in_memory(base: DataFrame, edges: DataFrame, s: Settings, iterations: int | None, clip: float | None) -> DataFrame:
+    nodes, rows = base.toPandas(), edges.toPandas()
+    index = pd.Index(nodes["user_id"])
+    src, dst = index.get_indexer(rows["src"]), index.get_indexer(rows["dst"])
+    ok = (src >= 0) & (dst >= 0)
+    steps, tolerance = (s.trust_iterations, s.trust_tolerance) if iterations is None else (iterations, None)
+    weights = trust(src[ok], dst[ok], rows["t"].to_numpy(float)[ok], nodes["p"].to_numpy(float), s.delta, steps, tolerance, clip)
+    kind = base.schema["user_id"].dataType.simpleString()
+    return base.sparkSession.createDataFrame(pd.DataFrame({"user_id": nodes["user_id"], "lambda": weights}), f"user_id {kind}, lambda double")
+
+
 def ring(edges: DataFrame, puppets: DataFrame, target: str) -> DataFrame:
     """The trust graph with puppet raters who trust a single target."""
     return edges.unionByName(puppets.select(F.col("user_id").alias("src"), F.lit(target).alias("dst"), F.lit(1.0).alias("t")))
