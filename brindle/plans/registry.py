@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from brindle.plans import problems, rater_queries, reception_queries
+from brindle.plans import model_queries, problems, rater_queries, reception_queries
 
 FLAGSHIP = "p1_found"
-_MODULES = (problems, reception_queries, rater_queries)
+_MODULES = (problems, reception_queries, rater_queries, model_queries)
 
 
 def queries() -> dict[str, Callable]:
