@@ -125,11 +125,11 @@ def redundant_messages(firehose: DataFrame, reactions: DataFrame) -> DataFrame:
 class SeenStore:
     """Exactly-once over deliveries: an append-only dictionary of identifiers and the bitmaps of seen codes.
 
-    A version is written beside the last one and becomes current by one rename of the pointer file, so a
+    A version is written beside the last one and becomes current by one rename of its pointer file, so a
     delivery is counted wholly or not at all; a delivery given again keeps nothing.
     """
 
-    POINTER = "_CURRENT"
+    POINTER = "current"
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 64):
         self.spark, self.shards = spark, shards
@@ -142,22 +142,21 @@ class SeenStore:
 
     def current(self) -> dict:
         fs, Path = self._fs()
-        pointer = Path(f"{self.path}/{self.POINTER}")
-        if not fs.exists(pointer):
+        found = fs.globStatus(Path(f"{self.path}/{self.POINTER}-*.json"))
+        names = sorted(f.getPath().toString() for f in found) if found else []
+        if not names:
             return {"version": 0, "dictionary": [], "bitmaps": None}
-        return json.loads(self.spark.read.text(f"{self.path}/{self.POINTER}").first()[0])
+        return json.loads(self.spark.read.text(names[-1]).first()[0])
 
     def _publish(self, state: dict) -> None:
+        """One rename makes the version current: the pointer with the highest number counts."""
         fs, Path = self._fs()
-        temporary = Path(f"{self.path}/.{self.POINTER}-{uuid.uuid4().hex}")
+        temporary = Path(f"{self.path}/.{uuid.uuid4().hex}")
         out = fs.create(temporary, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        pointer = Path(f"{self.path}/{self.POINTER}")
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        if not fs.rename(temporary, pointer):
-            raise RuntimeError("the new version could not be published")
+        if not fs.rename(temporary, Path(f"{self.path}/{self.POINTER}-{state['version']:012d}.json")):
+            raise RuntimeError("another delivery published this version first")
 
     def ingest(self, rows: DataFrame, identifier: Sequence[str], arrival: str, number: str | None = None) -> DataFrame:
         """Arrival numbers of the messages of `rows` not seen before; the state then holds them.
