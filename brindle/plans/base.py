@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import core, propensity, reception
-from brindle.session import table
+from brindle.session import cut, table
 
 EPSILON = 0.05
 
@@ -58,7 +58,8 @@ class Base:
 
     @cached_property
     def exposed(self) -> DataFrame:
-        return propensity.with_exposure(self.reactions, self.exposures)
+        """Written once: the weights, their mean and the global mean are all taken over it."""
+        return cut(propensity.with_exposure(self.reactions, self.exposures))
 
     @cached_property
     def weighted(self) -> DataFrame:

@@ -54,6 +54,14 @@ def test_both_forms_of_the_coordinates_agree(world):
     assert all(abs(abs(x[k]) - abs(y[k])) < 1e-6 for k in x)
 
 
+def test_both_forms_of_the_means_agree(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"u{i:02d}", float(a), float(b)) for i, (a, b) in enumerate(np.round(rng.normal(0, 1, (40, 2)) + 4 * rng.integers(0, 3, (40, 1)), 1))]
+    points = spark.createDataFrame(rows, "user_id string, c0 double, c1 double")
+    a, b = ({r["user_id"]: r["cluster"] for r in geometry.lloyd(points, 2, 3, local_rows=n).collect()} for n in (0, 100))
+    assert a == b and len(set(a.values())) == 3
+
+
 def test_degenerate_partitions(spark, world):
     assert {r["cluster"] for r in geometry.spectral_partition(world, 1).collect()} == {0}
     few = geometry.spectral_partition(world.filter("user_id < 'u2'"), 3).orderBy("user_id").collect()
