@@ -68,7 +68,7 @@ def period_aggregates(
     at = F.when(F.col("verdict") != "too_late", F.col("__at"))
     inside = Window.partitionBy(*by, "period_us", "__slice").orderBy(at.asc_nulls_first())
     sliced = (
-        points.withColumn("__gap", at - F.lag(at).over(inside))
+        points.withColumn("__gap", F.greatest(at - F.lag(at).over(inside), F.when(at.isNotNull() & (F.col("__n") > 1), F.lit(0).cast("long"))))
         .groupBy(*by, "period_us", "__slice")
         .agg(
             F.sum(F.when(F.col("verdict") == "in_time", F.col("__n"))).alias("in_time"),

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.config import Settings
 from brindle.operators.factorization import hashed_normal
+from brindle.operators.metrics import churn
 from brindle.operators.rater import dot
 from brindle.session import cut
 
@@ -172,6 +174,39 @@ class World:
     epsilon: float = 0.1
     adaptive: bool = False
     seed: int = 0
+    live_windows: int = 3  # windows for which a post stays a candidate
+    ring: int = 0  # puppets who boost the posts of one author
+    ring_target: str = "a3"
+    camouflage: int = 0  # genuine posts a puppet rates like a member of a camp
+    forged_vouches: bool = False
+
+
+def explored(candidates: DataFrame, feed: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """(user_id, post_id): an exploration slice outside the feed; the expected size is share x the feed's, the rest of a
+    slot drawn at random."""
+    want = feed.groupBy("user_id").agg((F.count(F.lit(1)) * F.lit(share)).alias("__w"))
+    size = F.floor("__w") + F.when(uniform("user_id", seed=seed + 41) < F.col("__w") - F.floor("__w"), 1).otherwise(0)
+    rest = candidates.select("user_id", "post_id").join(feed.select("user_id", "post_id"), ["user_id", "post_id"], "left_anti").join(want.select("user_id", size.alias("__n")), "user_id")
+    order = Window.partitionBy("user_id").orderBy(F.xxhash64("user_id", "post_id", F.lit(seed + 42)), "post_id")
+    return rest.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= F.col("__n")).select("user_id", "post_id")
+
+
+def ring_attack(spark: SparkSession, posts: DataFrame, w: World, window: int) -> tuple[DataFrame, DataFrame]:
+    """(reactions, exposures) of a ring of puppets: boosts of the target's posts, which nobody served them (out of band),
+    and genuine-looking ratings of other posts as camouflage."""
+    puppets = population(spark, w.ring, seed=w.seed + 99).select(F.concat(F.lit("z"), "user_id").alias("user_id"), "pole", "opinion")
+    pairs = puppets.crossJoin(posts.select("post_id", "author_id", "loading", "quality", "toxicity"))  # a ring of given size on few posts
+    boosts = pairs.filter(F.col("author_id") == w.ring_target).select("user_id", "post_id", F.lit(1.0).alias("value"), F.lit("boost").alias("kind"))
+    rows = boosts
+    if w.forged_vouches:
+        rows = rows.unionByName(boosts.withColumn("kind", F.lit("vouch")))
+    shown = boosts.select("user_id", "post_id", F.lit("out_of_band").alias("source"))
+    if w.camouflage:
+        order = Window.partitionBy("user_id").orderBy(F.xxhash64("user_id", "post_id", F.lit(window)), "post_id")
+        hidden = pairs.filter(F.col("author_id") != w.ring_target).withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= w.camouflage)
+        rows = rows.unionByName(react(hidden, seed=w.seed + window))
+        shown = shown.unionByName(hidden.select("user_id", "post_id", F.lit("organic").alias("source")))
+    return rows, shown
 
 
 def run(spark: SparkSession, ranker, world: World = World()) -> Result:
@@ -181,24 +216,33 @@ def run(spark: SparkSession, ranker, world: World = World()) -> Result:
     """
     people = cut(population(spark, world.users, seed=world.seed))
     writers, out = authors(spark, world.authors), Result()
-    style, best, before = {f"a{i}": 0.0 for i in range(world.authors)}, {}, None
+    style, best, before, alive = {f"a{i}": 0.0 for i in range(world.authors)}, {}, None, []
     for t in range(world.windows):
-        posts = cut(posts_of(writers, world.per_author, t, style=style if world.adaptive else None, seed=world.seed))
-        audience = people.crossJoin(posts)  # every agent may see each of the window's few posts
+        fresh = cut(posts_of(writers, world.per_author, t, style=style if world.adaptive else None, seed=world.seed))
+        alive = [fresh, *alive][: world.live_windows]
+        posts = reduce(DataFrame.unionByName, alive)
+        audience = people.crossJoin(posts)  # every agent may see each of the few live posts
         candidates = audience.select("user_id", "post_id", "author_id", "created_at")
         feed = cut(ranker.rank(candidates, posts).select("user_id", "slot", "post_id"))
-        truth = feed.join(people, "user_id").join(posts, "post_id")
-        reactions = cut(react(truth, seed=world.seed + t).unionByName(vouch(truth, seed=world.seed + t)))
-        value = welfare(audience).join(feed, "post_id").agg(F.avg("true_value"), F.avg("divisiveness")).first()
-        toxicity, satisfied = truth.agg(F.avg("toxicity"), F.avg(approval())).first()
+        extra = explored(candidates, feed, world.epsilon, world.seed + t)
+        shown = feed.select("user_id", "post_id", F.lit("organic").alias("source")).unionByName(extra.withColumn("source", F.lit("exploration")))
+        truth = cut(shown.join(people, "user_id").join(posts, "post_id"))
+        reactions = react(truth, seed=world.seed + t).unionByName(vouch(truth, seed=world.seed + t))
+        exposures = truth.select("user_id", "post_id", "source")
+        if world.ring:
+            boosts, told = ring_attack(spark, fresh, world, t)
+            reactions, exposures = reactions.unionByName(boosts), exposures.unionByName(told)
+        reactions, exposures = cut(reactions), cut(exposures)
+        value = welfare(audience).join(truth.select("post_id"), "post_id").agg(F.avg("true_value"), F.avg("divisiveness")).first()
+        n, toxicity, satisfied, target = truth.agg(
+            F.count(F.lit(1)), F.avg("toxicity"), F.avg(approval()), F.sum(F.when(F.col("author_id") == world.ring_target, 1).otherwise(0))
+        ).first()
         moved = None
         if before is not None:
-            shared = feed.select("user_id", F.split("post_id", "-")[0].alias("a")).distinct()
-            old = before.select("user_id", F.split("post_id", "-")[0].alias("a")).distinct()
-            same, all_ = shared.intersect(old).count(), shared.union(old).distinct().count()
-            moved = 1.0 - same / max(all_, 1)
-        out.windows.append({"window": t, "true_value": value[0], "divisiveness": value[1], "toxicity": toxicity, "satisfaction": satisfied, "churn": moved})
-        ranker.observe(reactions, posts, feed)
+            two = feed.select("user_id", "post_id", F.lit(1).alias("window")).unionByName(before.select("user_id", "post_id", F.lit(0).alias("window")))
+            moved = churn(two).agg(F.avg("churn")).first()[0]
+        out.windows.append({"window": t, "impressions": n, "true_value": value[0], "divisiveness": value[1], "toxicity": toxicity, "satisfaction": satisfied, "churn": moved, "target_reach": target})
+        ranker.observe(reactions, posts, exposures)
         if world.adaptive:
             reach = {r["author_id"]: float(r["n"]) for r in truth.groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).collect()}
             style = adapt(style, reach, best, seed=world.seed + t)
@@ -206,6 +250,11 @@ def run(spark: SparkSession, ranker, world: World = World()) -> Result:
     return out
 
 
+def compare(spark: SparkSession, rankers: dict, world: World = World()) -> dict[str, Result]:
+    """The same world under several rankers."""
+    return {name: run(spark, ranker, world) for name, ranker in rankers.items()}
+
+
 class ChronologicalRanker:
     """Newest first."""
 
@@ -221,6 +270,26 @@ class ChronologicalRanker:
         return None
 
 
+class BridgingRanker(ChronologicalRanker):
+    """The whole engine in the loop: fits every window, ranks by bridged value, auditions what it hasn't seen."""
+
+    def __init__(self, engine, slots: int = 6):
+        super().__init__(slots)
+        self.engine = engine
+
+    def rank(self, candidates: DataFrame, posts: DataFrame) -> DataFrame:
+        if self.engine.fitted is None:
+            return super().rank(candidates, posts)
+        order = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), "post_id"))
+        return self.engine.rank(candidates.select("user_id", order.alias("pos"), "post_id"), slots=self.slots, posts=posts)
+
+    def observe(self, reactions: DataFrame, posts: DataFrame, exposures: DataFrame) -> None:
+        rows = reactions.select(F.xxhash64("user_id", "post_id", "kind").alias("ordinal"), "user_id", "post_id", "value", "kind", F.lit(0.0).alias("ts"))
+        pi = F.when(F.col("source") == "exploration", self.engine.settings.epsilon_min).otherwise(0.5)
+        shown = exposures.select(F.xxhash64("user_id", "post_id").alias("ordinal"), "user_id", "post_id", F.lit(0.0).alias("timestamp"), F.lit(0).alias("slot"), "source", pi.alias("propensity"))
+        self.engine.fit_window(rows, posts.select("post_id", "author_id"), shown)
+
+
 class RandomRanker(ChronologicalRanker):
     def rank(self, candidates: DataFrame, posts: DataFrame) -> DataFrame:
         from brindle.operators.feed import shuffled

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     global _LOCAL
     if _LOCAL is None:
         _LOCAL = tempfile.mkdtemp(prefix="brindle-")
+        atexit.register(shutil.rmtree, _LOCAL, ignore_errors=True)
     return _LOCAL
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.config import Knobs, Settings
+from brindle.plans.window import Engine
 from brindle.operators import core, economy, factorization, feed, geometry, metrics, monitor, propensity, rater, reception, simulate
 
 S = Settings(d=2, mf_iterations=2, mf_tolerance=-1.0)
@@ -189,6 +190,13 @@ def test_simulated_loop(spark):
     assert oracle.tail("true_value") > chrono.tail("true_value") and chrono.windows[1]["churn"] is not None
 
 
+def test_engine_in_the_loop_with_a_ring(spark):
+    s = Settings(d=1, mf_iterations=2, trust_iterations=5, out_of_band_weight=0.2, budget_base=6.0)
+    w = simulate.World(users=10, authors=4, windows=2, slots=3, ring=4, camouflage=2, forged_vouches=True)
+    got = simulate.run(spark, simulate.BridgingRanker(Engine(s), 3), w)
+    assert [x["impressions"] > 20 for x in got.windows] == [True, True] and got.windows[1]["target_reach"] is not None
+
+
 def test_portfolio_floor():
     p = economy.RandomizationPortfolio(["a", "b"])
     p.observe("a", 5.0)

@@ -211,9 +211,10 @@ def test_period_aggregates_merge_slices(spark):
     hour = 3600 * 10**6
     rows = [("s", i, int(h), int(h + a)) for i, (h, a) in enumerate(zip(rng.integers(0, 3 * hour, 400), rng.integers(0, 30 * hour, 400)))]
     rows += [("s", 1000, 5, 6), ("s", 1001, 5, 6), ("s", 1002, None, 6), ("s", 1003, 5, None)]
+    rows += [("s", 2000 + i, 50 * hour, 50 * hour) for i in range(2)]  # one instant, nothing else in its hour
     events = lateness.kslack(spark.createDataFrame(rows, "src string, row_id long, happened_us long, arrived_us long"))
     got = {r["period_us"]: r for r in lateness.period_aggregates(events, ["src"], "row_id").collect()}
-    for p in range(3):
+    for p in (0, 1, 2, 50):
         inside = [(h, i, a - (p + 1) * hour) for _, i, h, a in rows if h is not None and a is not None and h // hour == p]
         out = sorted((h, i) for h, i, b in inside if b <= 24 * hour)
         r = got[p * hour]
