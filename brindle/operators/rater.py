@@ -153,21 +153,24 @@ def blend(trust: DataFrame, quality: DataFrame, mix: float = 0.5) -> DataFrame:
 def scout_precision(reactions: DataFrame, strength: DataFrame, alpha: float = 0.5) -> DataFrame:
     """(user_id, scout): strength of the posts a user approved, weighted by how early.
 
-    The k-th approval of a post weighs exp(-alpha k). Only the early ones weigh anything: from k = 745 / alpha on the
+    The k-th approval of a post weighs exp(-alpha k). Only the early ones weigh anything: past k = 745.14 / alpha the
     weight is below the smallest double. The rank is thus taken among a post's first approvals only, found without
-    sorting the whole post: slices of the post's approvals are ranked apart and their heads merged.
+    sorting the whole post: slices of the post's approvals are ranked apart and their heads merged. Users whose
+    approvals all come later stand at 0.
     """
     picks = reactions.filter(F.col("value") > 0).join(strength.select("post_id", "strength"), "post_id")
     order = [F.col("ts").asc(), F.col("ordinal").asc()]
     if alpha <= 0:
         ranked = picks.withColumn("__d", F.lit(1.0))
     else:
-        head = int(745 / alpha) + 1
+        head = int(745.14 / alpha) + 1
         slice_ = F.pmod(F.xxhash64("ordinal"), F.lit(64))
         first = picks.withColumn("__slice", slice_).withColumn("__k", F.row_number().over(Window.partitionBy("post_id", "__slice").orderBy(*order)))
         near = first.filter(F.col("__k") <= head).withColumn("__k", F.row_number().over(Window.partitionBy("post_id").orderBy(*order)) - 1)
         ranked = near.withColumn("__d", F.exp(F.lit(-alpha) * F.col("__k")))
-    sums = ranked.groupBy("user_id").agg(F.sum(F.col("__d") * F.col("strength")).alias("a"), F.sum("__d").alias("b"))
+    early = ranked.select("user_id", (F.col("__d") * F.col("strength")).alias("a"), F.col("__d").alias("b"))
+    everyone = picks.select("user_id").distinct().select("user_id", F.lit(None).cast("double").alias("a"), F.lit(0.0).alias("b"))
+    sums = early.unionByName(everyone).groupBy("user_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return sums.select("user_id", F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0).alias("scout"))
 
 

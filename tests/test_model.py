@@ -90,6 +90,15 @@ def test_ring_is_muted_by_diversity(spark):
     assert open_ > 90 and by["n0"] < 1.5 * by["n4"]
 
 
+def test_scouts_beyond_the_head_of_a_hot_post_stand_at_zero(spark):
+    rows = [(i, f"u{i}", "hot", 1.0, float(i)) for i in range(1600)] + [(2000, "u1599", "cold", 1.0, 0.0), (2001, "no", "hot", -1.0, 0.0)]
+    reactions = spark.createDataFrame(rows, "ordinal long, user_id string, post_id string, value double, ts double")
+    strength = spark.createDataFrame([("hot", 0.5), ("cold", 0.25)], "post_id string, strength double")
+    # at this alpha 8 approvals of each of the 64 slices are ranked again
+    got = {r["user_id"]: r["scout"] for r in rater.scout_precision(reactions, strength, 100.0).collect()}
+    assert len(got) == 1600 and got["u0"] == 0.5 and got["u1598"] == 0.0 and got["u1599"] == 0.25
+
+
 def test_shrinkage_to_the_global_mean(spark):
     rec = spark.createDataFrame([("B", 0, 40.0, 0.9), ("B", 1, 40.0, -0.6)], "post_id string, cluster int, n_cp double, r_emp double")
     posts = spark.createDataFrame([("B",), ("new",)], "post_id string")
