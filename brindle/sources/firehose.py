@@ -81,7 +81,21 @@ def post_from_uri(rows: DataFrame, created_at: Column) -> DataFrame:
     return rows.filter(author != "").select("post_id", author.alias("author_id"), created_at.alias("created_at"), F.create_map().cast("map<string,double>").alias("features"))
 
 
+def liked_posts(reactions: DataFrame, now: Column) -> DataFrame:
+    """Targets of positive reactions as posts, of the time of their earliest reaction (now where it has none)."""
+    at = F.when(F.col("timestamp") > 0, F.col("timestamp")).otherwise(now)
+    return post_from_uri(reactions.filter("value > 0").groupBy("post_id").agg(F.min(at).alias("__at")), F.col("__at"))
+
+
 def latest_posts(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """One row per post, the newest wins; with `most`, only the newest posts."""
-    one = rows.groupBy("post_id").agg(F.max(F.struct("created_at", "author_id")).alias("p")).select("post_id", "p.author_id", "p.created_at")
+    """One row per post, the newest wins; with `most`, only the newest posts.
+
+    Where rows have liked and batch, a post known only from likes (liked) keeps the row of its first batch, and gives way
+    to any row of the post itself; liked is kept.
+    """
+    if "liked" in rows.columns:
+        order, kept = [~F.col("liked"), F.when(F.col("liked"), -F.col("batch")), "created_at", "author_id", "liked"], ["p.liked"]
+    else:
+        order, kept = ["created_at", "author_id"], []
+    one = rows.groupBy("post_id").agg(F.max(F.struct(*order)).alias("p")).select("post_id", "p.author_id", "p.created_at", *kept)
     return one if most is None else one.orderBy(F.desc("created_at"), "post_id").limit(most)

@@ -60,7 +60,8 @@ def derived_negatives(served: DataFrame, reactions: DataFrame, exposure_penalty:
 
 
 def live_candidates(posts: DataFrame, now: float, s: Service = Service()) -> DataFrame:
-    return posts.filter(F.col("created_at") >= now - s.horizon_seconds).orderBy(F.desc("created_at"), "post_id").limit(s.max_candidates)
+    """The newest posts within the horizon, of the rows of the posts table."""
+    return firehose.latest_posts(posts).select("post_id", "author_id", "created_at").filter(F.col("created_at") >= now - s.horizon_seconds).orderBy(F.desc("created_at"), "post_id").limit(s.max_candidates)
 
 
 def reordered(events: DataFrame, slack_us: int) -> DataFrame:
@@ -107,9 +108,10 @@ class WindowLoop:
     def ingest(self, messages: DataFrame, batch: int) -> None:
         messages = firehose.sampled(messages, self.s.sample_rate).persist()
         reactions = firehose.reactions(messages)
-        posts = firehose.posts(messages).select("post_id", "author_id", "created_at")
+        posts = firehose.posts(messages).select("post_id", "author_id", "created_at", F.lit(False).alias("liked"))
         if self.s.candidates_from_likes:
-            posts = posts.unionByName(firehose.post_from_uri(reactions.select("post_id").distinct(), F.lit(0.0)).select("post_id", "author_id", "created_at"))
+            liked = firehose.liked_posts(reactions, F.lit(float(self.clock())))
+            posts = posts.unionByName(liked.select("post_id", "author_id", "created_at", F.lit(True).alias("liked")))
         self._write("posts", posts, batch)
         self._write("reactions", reactions, batch)
         messages.unpersist()
@@ -132,7 +134,7 @@ class WindowLoop:
     def fit(self, now: float) -> None:
         posts, reactions, served = (self.read(n) for n in ("posts", "reactions", "served"))
         if posts is not None and reactions is not None:
-            posts = firehose.latest_posts(posts, self.s.max_posts)
+            posts = firehose.latest_posts(posts, self.s.max_posts).drop("liked")
             rows = reactions.select("user_id", "post_id", "value", "kind", "timestamp")
             if served is not None:
                 rows = rows.unionByName(derived_negatives(served, rows, self.s.exposure_penalty))
@@ -152,7 +154,8 @@ class WindowLoop:
         """Closes the window: reactions and served rows go, posts stay within the horizon; the clock moves on in any case."""
         posts = self.read("posts")
         if posts is not None:
-            kept = firehose.latest_posts(posts.filter(F.col("created_at") >= now - self.s.horizon_seconds), self.s.max_posts)
+            # one row per post first: a like must not bring back a post known to be older
+            kept = firehose.latest_posts(posts, self.s.max_posts).filter(F.col("created_at") >= now - self.s.horizon_seconds)
             kept.write.mode("overwrite").parquet(self._table("kept"))
             self._clear("posts")
             self.spark.read.parquet(self._table("kept")).write.mode("overwrite").parquet(f"{self._table('posts')}/batch=-1")

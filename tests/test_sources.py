@@ -97,6 +97,28 @@ def test_service_loop_over_a_stream(spark, tmp_path):
     assert Engine.load(spark, str(tmp_path / "state" / "state"), loop.engine.settings).state["budgets"].count() == 2
 
 
+def test_liked_posts_become_candidates(spark, tmp_path):
+    hour, uri = 3600.0, "at://{}/app.bsky.feed.post/p".format
+    now = [100 * hour]
+
+    def like(did, key, at, target):
+        return message(did, "create", firehose.LIKE, key, int(at * 1e6), subject={"uri": uri(target)})
+
+    def batch(*lines):
+        return firehose.parse_json(spark.createDataFrame([(x,) for x in lines], "value string"))
+
+    loop = service.WindowLoop(spark, str(tmp_path), Engine(Settings(d=1, mf_iterations=2)), clock=lambda: now[0])
+    old = message("old", "create", firehose.POST, "p", int(80 * hour * 1e6), text="x")
+    loop.ingest(batch(old, like("u", "1", 99 * hour, "new"), like("u", "2", 99 * hour, "old"), like("u", "3", 0, "undated"), like("v", "4", 99.5 * hour, "new")), 0)
+    loop.ingest(batch(like("w", "5", 98 * hour, "new")), 1)
+    want = {uri("new"): 99 * hour, uri("undated"): 100 * hour}
+    assert {r["post_id"]: r["created_at"] for r in service.live_candidates(loop.read("posts"), now[0]).collect()} == want
+    loop.roll(now[0])
+    assert {r["post_id"]: r["created_at"] for r in service.live_candidates(loop.read("posts"), now[0]).collect()} == want
+    loop.ingest(batch(message("new", "create", firehose.POST, "p", int(97 * hour * 1e6), text="x")), 2)
+    assert {r["post_id"]: r["created_at"] for r in service.live_candidates(loop.read("posts"), now[0]).collect()} == want | {uri("new"): 97 * hour}
+
+
 def test_negatives_count_against_positive_reactions_only(spark):
     served = spark.createDataFrame([("u", "p"), ("u", "p"), ("u", "q"), ("v", "p")], "user_id string, post_id string")
     reacted = spark.createDataFrame([("u", "p", 0.5, None), ("u", "q", -1.0, "mute")], "user_id string, post_id string, value double, kind string")
