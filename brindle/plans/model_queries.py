@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.config import Knobs, Settings
+from brindle.functions import instants
 from brindle.operators import core, factorization, feed, geometry, metrics, simulate
 from brindle.plans.base import PRE, r6
 from brindle.plans.rater_queries import Raters
@@ -181,12 +182,23 @@ def derived_negatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def served_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Posts of the last six hours before the newest one (stamps in seconds only), newest first, at most 4000."""
+    """As its SQL has it, of posts stamped in seconds only; `served_candidates_any_unit` takes all posts.
+
+    Those of the last six hours before the newest one, newest first, at most 4000.
+    """
     rows = Raters(spark, d).posts.filter("created_at > 0 and created_at < 1e11 and not isnan(created_at)")
     newest = rows.agg(F.max("created_at").alias("t")).scalar()
     return rows.filter(F.col("created_at") >= newest - 6 * 3600.0).orderBy(F.desc("created_at"), "post_id").limit(4000).select("post_id", "author_id", "created_at")
 
 
+def served_candidates_any_unit(spark: SparkSession, d: str) -> DataFrame:
+    """Posts of the last six hours before the newest one, whatever the unit of their stamps, newest first, at most 4000."""
+    rows = Raters(spark, d).posts.withColumn("us", instants.double_us(F.col("created_at"))).filter("us is not null")
+    newest = rows.agg(F.max("us").alias("t")).scalar()
+    kept = rows.filter(F.col("us") >= newest - F.lit(6 * 3_600_000_000).cast("long")).orderBy(F.desc("us"), "post_id").limit(4000)
+    return kept.select("post_id", "author_id", (F.col("us") / 1e6).alias("created_at"))
+
+
 def window_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Reactions per quarter of an hour of their own time."""
     rows = Raters(spark, d).reactions.filter("ts > 0")
@@ -290,7 +302,7 @@ QUERIES = {
     for f in (
         mf_als_d1, mf_bias_only, mf_predict, mf_als_d, divisiveness_identity, whiten_moments, cluster_centroids, spectral_clusters, kmeans_clusters,
         value_by_user, depth_gate, blended_value, rank_chronological, rank_engagement, feed_greedy, feed_interleaved, fitted_window, derived_negatives,
-        served_candidates, window_tumbling, window_session, feed_churn, auc, balanced_auc, ndcg_at_5, spearman, rank_average, ari, embedding_recovery,
+        served_candidates, served_candidates_any_unit, window_tumbling, window_session, feed_churn, auc, balanced_auc, ndcg_at_5, spearman, rank_average, ari, embedding_recovery,
         kcore, dense_slice, simulate_population, simulate_reactions, welfare, mnar_log, induced_mnar,
     )
 }
@@ -346,6 +358,11 @@ SQL = {
         AND (user_id, post_id) NOT IN (SELECT (user_id, post_id) FROM r WHERE val > 0)""",
     "served_candidates": """WITH s AS (SELECT * FROM posts WHERE created_at > 0 AND created_at < 1e11 AND NOT isnan(created_at))
         SELECT post_id, author_id, created_at FROM s WHERE created_at >= (SELECT max(created_at) FROM s) - 21600 ORDER BY created_at DESC, post_id LIMIT 4000""",
+    "served_candidates_any_unit": """WITH u AS (SELECT *, CASE WHEN created_at < 1e11 THEN 1000000.0 WHEN created_at < 1e14 THEN 1000.0 WHEN created_at < 1e17 THEN 1.0 ELSE 0.001 END AS f
+          FROM posts WHERE created_at > 0 AND created_at < 9e18 AND NOT isnan(created_at)),
+        s AS (SELECT *, CASE WHEN f < 1 THEN CAST(floor(created_at / 1000.0 + 0.5) AS BIGINT)
+          ELSE CAST(floor(created_at) AS BIGINT) * CAST(f AS BIGINT) + CAST(floor((created_at - floor(created_at)) * f + 0.5) AS BIGINT) END AS us FROM u)
+        SELECT post_id, author_id, us / 1000000.0::DOUBLE AS created_at FROM s WHERE us >= (SELECT max(us) FROM s) - 21600000000 ORDER BY us DESC, post_id LIMIT 4000""",
     "window_tumbling": PRE + " SELECT CAST(floor(ts / 900.0) AS BIGINT) * 900 AS window_start, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(val), 6) + 0.0 AS total FROM r WHERE ts > 0 GROUP BY 1",
     "window_session": PRE + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, ordinal) <= 1800.0 THEN 0 ELSE 1 END AS nw FROM r WHERE ts > 0),
         ss AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY ts, ordinal) AS BIGINT) AS session FROM g)

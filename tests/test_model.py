@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.config import Knobs, Settings
+from brindle.plans import registry
 from brindle.plans.window import Engine
 from brindle.operators import core, economy, factorization, feed, geometry, metrics, monitor, propensity, rater, reception, simulate
 
@@ -206,6 +207,14 @@ def test_engine_in_the_loop_with_a_ring(spark):
     assert [x["impressions"] > 20 for x in got.windows] == [True, True] and got.windows[1]["target_reach"] is not None
 
 
+def test_served_candidates_take_stamps_of_any_unit(spark, tmp_path):
+    t = 1_731_196_769.0
+    rows = [("s", t - 60), ("ms", (t - 30) * 1e3), ("us", t * 1e6), ("ns", (t - 90) * 1e9), ("old", (t - 21_601) * 1e3), ("none", 0.0), ("nan", float("nan"))]
+    spark.createDataFrame([(p, "a", at, None) for p, at in rows], "post_id string, author_id string, created_at double, features map<string,double>").write.parquet(str(tmp_path / "posts.parquet"))
+    got = [(r["post_id"], r["created_at"]) for r in registry.queries()["served_candidates_any_unit"](spark, str(tmp_path)).collect()]
+    assert got == [("us", t), ("ms", t - 30), ("s", t - 60), ("ns", t - 90)]
+
+
 def test_portfolio_floor():
     p = economy.RandomizationPortfolio(["a", "b"])
     p.observe("a", 5.0)
