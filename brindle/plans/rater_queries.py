@@ -278,13 +278,19 @@ def morans_i(spark: SparkSession, d: str) -> DataFrame:
     return monitor.morans_i(cut(values), cut(monitor.coreaction_edges(b.vouches, _few_reactors(b)))).select(r6("morans_i").alias("morans_i"))
 
 
+def morans_i_approvals(spark: SparkSession, d: str) -> DataFrame:
+    """Autocorrelation of all reactors' opinion coordinates on their co-reaction graph over the approval channel."""
+    b = Raters(spark, d)
+    return monitor.morans_i_by_blocks(b.reactions, b.clusters.select("user_id", F.col("x").alias("value"))).select(r6("morans_i").alias("morans_i"), "edges")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         trust_edges, out_diversity, eigentrust_10, eigentrust_seeded, ring_sweep, quality_weight, lambda_blend, scout_precision, satisfaction,
         lambda_recycled, recycling_verified, coordination_jaccard, collusion_fraction, collusion_two_windows, penalised_blcb, budget_replenish,
         budget_share, budget_memory_two_windows, budget_streaming, replicator_gain, amplification_collar, audition_posterior, thompson_draws,
-        gini_lambda, n_eff, saturation_depth, lipschitz, endogenous_shift, portfolio_allocate, coreaction_edges, morans_i,
+        gini_lambda, n_eff, saturation_depth, lipschitz, endogenous_shift, portfolio_allocate, coreaction_edges, morans_i, morans_i_approvals,
     )
 }
 
@@ -340,6 +346,7 @@ _GRAPH = PRE + """, cl AS (SELECT user_id, post_id, avg(val) AS v FROM v GROUP B
   ab AS (SELECT a.user_id AS u, b.user_id AS v, sum(a.v * b.v) AS ab FROM cl a JOIN cl b ON a.post_id = b.post_id AND a.user_id <> b.user_id GROUP BY 1, 2),
   gr AS (SELECT ab.u, ab.v, greatest((ab - a.p * a.m * b.m) / (greatest(a.nn, 1e-9) * greatest(b.nn, 1e-9)), 0.0) AS w
          FROM ab JOIN us a ON a.user_id = ab.u JOIN us b ON b.user_id = ab.v)"""
+_GRAPH_R = _GRAPH.replace("FROM v GROUP BY", "FROM r GROUP BY")
 
 SQL = {
     "trust_edges": _T + "SELECT src, dst, round(t, 6) + 0.0 AS t FROM t",
@@ -391,6 +398,8 @@ SQL = {
     "portfolio_allocate": PRE + """, g AS (SELECT source AS arm, 0.3 * avg(val) AS g FROM x WHERE source IS NOT NULL GROUP BY 1)
         SELECT arm, round(0.1 + (1.0 - 0.1 * count(*) OVER ()) * exp(g / 0.1) / sum(exp(g / 0.1)) OVER (), 6) AS share FROM g""",
     "coreaction_edges": _GRAPH + " SELECT u, v, round(w, 6) + 0.0 AS w FROM gr WHERE w > 0",
+    "morans_i_approvals": _GRAPH_R + """, zz AS (SELECT user_id, x - avg(x) OVER () AS z FROM k)
+        SELECT round((SELECT count(*) FROM zz) * sum(w * a.z * b.z) / (sum(w) * (SELECT sum(z * z) FROM zz)), 6) + 0.0 AS morans_i, count(*) FILTER (w > 1e-9) AS edges FROM gr JOIN zz a ON a.user_id = u JOIN zz b ON b.user_id = v""",
     "morans_i": _GRAPH + """, vl AS (SELECT DISTINCT user_id, CAST(ascii(right(user_id, 1)) % 7 - 3 AS DOUBLE) AS y FROM v), zz AS (SELECT user_id, y - avg(y) OVER () AS z FROM vl)
         SELECT round((SELECT count(*) FROM zz) * sum(w * a.z * b.z) / (sum(w) * (SELECT sum(z * z) FROM zz)), 6) + 0.0 AS morans_i FROM gr JOIN zz a ON a.user_id = u JOIN zz b ON b.user_id = v""",
 }

@@ -141,6 +141,24 @@ def test_whiteness_flags_a_hidden_camp(spark):
     assert by["hidden"]["p_value"] < 0.05 and by["hidden"]["morans_i"] > 0.5 and by["white"]["p_value"] > 0.02 and by["few"]["p_value"] == 1.0
 
 
+@pytest.mark.parametrize("size", [7, 1000])
+def test_morans_i_by_blocks_is_that_of_the_edges(spark, size):
+    rng = np.random.default_rng(6)
+    rows = sorted({(f"u{u}", f"p{min(p, 6 + u % 9)}"): float(np.round(v, 1)) for u, p, v in zip(rng.integers(0, 40, 300), rng.geometric(0.2, 300), rng.normal(size=300))}.items())
+    reactions = spark.createDataFrame([(u, p, v) for (u, p), v in rows], "user_id string, post_id string, value double")
+    values = reactions.select("user_id").distinct().withColumn("value", (F.ascii(F.substring("user_id", -1, 1)) % 7).cast("double"))
+    edges = monitor.coreaction_edges(reactions, reactions.select("user_id").distinct()).cache()
+    got = monitor.morans_i_by_blocks(reactions, values, size).first()
+    assert got["edges"] == edges.filter("w > 1e-9").count() > 0 and abs(got["morans_i"] - monitor.morans_i(values, edges).first()[0]) < 1e-9
+
+
+def test_hot_posts_of_a_pair_of_blocks_count_as_the_others():
+    rng = np.random.default_rng(2)
+    block = monitor._pack(pd.DataFrame({"block": 0, "user_id": [f"u{i % 30}" for i in range(90)], "p": [i // 30 for i in range(90)], "v": rng.normal(size=90), "m": 0.1, "z": 1.0}))["payload"][0]
+    a, b = (monitor._pair_sums(block, block, True, tile=8, hot=h) for h in (0, 1_000_000))
+    assert a[2] == b[2] > 0 and np.allclose(a, b)
+
+
 def candidates(spark, seed: int):
     rng = np.random.default_rng(seed)
     rows = []
