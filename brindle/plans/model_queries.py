@@ -55,7 +55,7 @@ def mf_predict(spark: SparkSession, d: str) -> DataFrame:
 
 def mf_als_d(spark: SparkSession, d: str) -> DataFrame:
     b = Raters(spark, d)
-    m = factorization.fit(b.weighted, replace(S, d=4), sweeps=8)
+    m = factorization.fit(b.weighted, S)
     return m.posts.select("post_id", "b_p", "y")
 
 
@@ -165,7 +165,7 @@ def feed_interleaved(spark: SparkSession, d: str) -> DataFrame:
 def fitted_window(spark: SparkSession, d: str) -> DataFrame:
     """One whole learning window: bridged scores of all posts from spectral clusters, factorization and influence."""
     b = Raters(spark, d)
-    engine = Engine(replace(S, d=4, mf_iterations=8))
+    engine = Engine(S)
     return engine.fit_window(b.all_reactions, b.posts, b.table("exposures")).scores.select("post_id", "author_id", "b_lcb")
 
 
@@ -234,7 +234,7 @@ def auc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def balanced_auc(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.balanced_auc(_judged(Raters(spark, d)), "score", "label", "ordinal", draws=5)
+    return metrics.balanced_auc(_judged(Raters(spark, d)), "score", "label", "ordinal")
 
 
 def ndcg_at_5(spark: SparkSession, d: str) -> DataFrame:

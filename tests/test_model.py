@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.config import Knobs, Settings
-from brindle.plans import registry
+from brindle.plans import model_queries, registry
 from brindle.plans.window import Engine
 from brindle.operators import core, economy, factorization, feed, geometry, metrics, monitor, propensity, rater, reception, simulate
+from tests.conftest import DATA
 
 S = Settings(d=2, mf_iterations=2, mf_tolerance=-1.0)
 
@@ -233,6 +234,17 @@ def test_served_candidates_take_stamps_of_any_unit(spark, tmp_path):
     assert got == [("us", t), ("ms", t - 30), ("s", t - 60), ("ns", t - 90)]
 
 
+def test_registered_fits_are_of_the_full_size(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(model_queries, "Engine", lambda s: asked.append(s) or Engine(s))
+    monkeypatch.setattr(Engine, "fit_window", lambda self, *a: type("F", (), {"scores": spark.createDataFrame([("p", "a", 0.0)], "post_id string, author_id string, b_lcb double")}))
+    monkeypatch.setattr(factorization, "fit", lambda rows, s, **kw: asked.append((s, kw)) or type("M", (), {"posts": spark.createDataFrame([("p", 0.0, [0.0])], "post_id string, b_p double, y array<double>")}))
+    monkeypatch.setattr(metrics, "balanced_auc", lambda *a, **kw: asked.append((a[1:], kw)))
+    for f in (model_queries.fitted_window, model_queries.mf_als_d, model_queries.balanced_auc):
+        f(spark, DATA)
+    assert asked == [Settings(), (Settings(), {}), (("score", "label", "ordinal"), {})]
+
+
 def test_portfolio_floor():
     p = economy.RandomizationPortfolio(["a", "b"])
     p.observe("a", 5.0)
