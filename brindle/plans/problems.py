@@ -37,11 +37,11 @@ def p2_hours(spark: SparkSession, d: str) -> DataFrame:
     """Counts per hour of happening for both logs: as published when the grace ends, and as corrected."""
     created = lateness.created_events(table(spark, d, "firehose"), table(spark, d, "clients"))
     reacted = lateness.reaction_events(table(spark, d, "reactions"))
-    return lateness.period_aggregates(lateness.kslack(created.unionByName(reacted)), ["src"], "row_id")
+    return lateness.period_aggregates(lateness.kslack(created.unionByName(reacted), publish=["src"]), ["src"], "row_id")
 
 
 def p2_reaction_hours(spark: SparkSession, d: str) -> DataFrame:
-    events = lateness.kslack(lateness.reaction_events(table(spark, d, "reactions")))
+    events = lateness.kslack(lateness.reaction_events(table(spark, d, "reactions")), publish=["src"])
     return lateness.period_aggregates(events, ["src"], "row_id")
 
 
