@@ -86,17 +86,20 @@ def _narrow(rows: DataFrame, state: DataFrame, parts: int) -> DataFrame:
     return found.select(F.col("__k").alias("key"), (F.col("rank") - (F.col("__run") - F.col("n"))).alias("rank"), "low", "high")
 
 
-def heavy_keys(pairs: DataFrame, share_inverse: int = 50) -> DataFrame:
-    """(key, n) of the keys that hold at least 1/share_inverse of all rows, from compressed pairs."""
+def heavy_keys(pairs: DataFrame, share_inverse: int = 50, rows: DataFrame | None = None) -> DataFrame:
+    """(key, n) of the keys that hold at least 1/share_inverse of all rows, from compressed pairs.
+
+    rows: the rows the pairs were made from; counting them spares making the pairs a second time for their sum.
+    """
     counts = pairs.groupBy("key").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
+    total = counts.agg(F.sum("n").alias("total")) if rows is None else rows.agg(F.count(F.lit(1)).alias("total"))
     return counts.filter(F.col("key").isNotNull() & (F.col("n") * F.lit(share_inverse) >= total.scalar()))
 
 
 def heavy_log_keys(reactions: DataFrame, posts: DataFrame, share_inverse: int = 50) -> DataFrame:
     """(field, key) of the heavy posts of the reactions and the heavy authors of the posts."""
-    by_post = heavy_keys(compressed(reactions, F.col("post_id"), F.col("value")), share_inverse)
-    by_author = heavy_keys(compressed(posts, F.col("author_id"), F.col("features")["chars"]), share_inverse)
+    by_post = heavy_keys(compressed(reactions, F.col("post_id"), F.col("value")), share_inverse, reactions)
+    by_author = heavy_keys(compressed(posts, F.col("author_id"), F.col("features")["chars"]), share_inverse, posts)
     return by_post.select(F.lit("post_id").alias("field"), "key").unionByName(
         by_author.select(F.lit("author_id").alias("field"), "key")
     )
