@@ -42,6 +42,7 @@ class Settings:
     reg_author: float = 0.05
     mf_tolerance: float = 1e-5
     inner_iterations: int = 2
+    local_rows: int = 0  # rows up to which iterations may run in memory on the driver; 0: never
     # bridging
     n0: float = 8.0
     aggregator: str = "nash"

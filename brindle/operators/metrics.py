@@ -9,30 +9,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.skew import cumulated
 from brindle.session import cut
 
-PARTS = 256
-
 
 def value_ranks(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(*by, value, c, rank): distinct values with their number of rows and average rank (1-based, ties share).
 
-    Equal values are folded first. Cumulated counts come from PARTS ranges per group and from within each range, so that
-    no task sorts a whole group.
+    Equal values are folded first; no task sorts a whole group (see `cumulated`).
     """
     by = list(by)
-    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c")).withColumn("__g", F.struct(*by) if by else F.lit(0))
-    ends = counts.groupBy(F.col("__g").alias("__h")).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    counts = counts.join(ends, F.col("__g").eqNullSafe(F.col("__h"))).drop("__h")
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(float(PARTS))
-    part = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(PARTS - 1).cast("long"))).otherwise(F.lit(0).cast("long"))
-    counts = counts.withColumn("__part", part)
-    parts = counts.groupBy(F.col("__g").alias("__h"), F.col("__part").alias("__q")).agg(F.sum("c").alias("__pc"))
-    before = F.sum("__pc").over(Window.partitionBy("__h").orderBy("__q")) - F.col("__pc")
-    parts = parts.withColumn("__before", before).drop("__pc")
-    inside = F.sum("c").over(Window.partitionBy("__g", "__part").orderBy(value)) - F.col("c")
-    out = counts.withColumn("__in", inside).join(parts, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__part") == F.col("__q")))
-    return out.select(*by, value, "c", (F.col("__before") + F.col("__in") + (F.col("c") + 1) / 2.0).alias("rank"))
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    pairs = counts.select(F.struct(*by).alias("key") if by else F.lit(0).alias("key"), F.col(value).alias("value"), "n")
+    ranked = cumulated(pairs)
+    mean = F.col("run") - F.col("n") + (F.col("n") + 1) / 2.0
+    return ranked.select(*[F.col(f"key.{c}").alias(c) for c in by], F.col("value").alias(value), F.col("n").alias("c"), mean.alias("rank"))
 
 
 def average_ranks(rows: DataFrame, value: str, to: str, by: Sequence[str] = ()) -> DataFrame:
@@ -155,15 +146,23 @@ def balanced_auc(rows: DataFrame, score: str, label: str, key: str, draws: int =
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     least = sizes.agg(F.min("n").alias("n")).scalar()
     drawn = rows.select(key, score, label, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    order = Window.partitionBy("draw", label).orderBy(F.xxhash64(key, "draw", F.lit(seed)), key)
-    taken = drawn.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= least)
+    order = F.struct(F.xxhash64(key, "draw", F.lit(seed)), F.col(key))
+    dealt = drawn.select(F.struct("draw", label).alias("key"), order.alias("value"), F.lit(1).alias("n"), "draw", score, label)
+    taken = cumulated(dealt).filter(F.col("run") <= least).select("draw", score, label)
     return auc(taken, score, label, ["draw"]).agg(F.avg("auc").alias("balanced_auc"))
 
 
 def churn(feeds: DataFrame) -> DataFrame:
     """(user_id, window, churn): 1 - Jaccard similarity of a viewer's feed with that of the window before."""
-    sets = feeds.groupBy("user_id", "window").agg(F.collect_set("post_id").alias("s"))
-    before = F.lag("s").over(Window.partitionBy("user_id").orderBy("window"))
-    rows = sets.withColumn("p", before).filter(F.col("p").isNotNull())
-    union = F.size(F.array_union("s", "p"))
-    return rows.select("user_id", "window", (1.0 - F.size(F.array_intersect("s", "p")) / F.greatest(union, F.lit(1))).alias("churn"))
+    # by rows of (viewer, post, window), so that no viewer's feeds are gathered
+    shown = feeds.select("user_id", "window", "post_id").distinct()
+    sizes = shown.groupBy("user_id", "window").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("user_id").orderBy("window")
+    sizes = sizes.withColumn("before", F.lag("window").over(along)).withColumn("m", F.lag("n").over(along)).filter(F.col("before").isNotNull())
+    # a post stays if the same viewer was shown it in the window before
+    last = Window.partitionBy("user_id", "post_id").orderBy("window")
+    kept = shown.withColumn("before", F.lag("window").over(last)).filter(F.col("before").isNotNull())
+    stayed = sizes.select("user_id", "window", "before").join(kept, ["user_id", "window", "before"]).groupBy("user_id", "window").agg(F.count(F.lit(1)).alias("both"))
+    both = F.coalesce("both", F.lit(0))
+    union = F.greatest(F.col("n") + F.col("m") - both, F.lit(1))
+    return sizes.join(stayed, ["user_id", "window"], "left").select("user_id", "window", (1.0 - both / union).alias("churn"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.config import Settings
-from brindle.operators.local import LOCAL_ROWS, bounded, trust
+from brindle.operators.local import bounded, trust
 from brindle.session import cut
 
 
@@ -60,14 +60,14 @@ def eigentrust(
     transmit: DataFrame | None = None,
     seeds: DataFrame | None = None,
     clip: float | None = None,
-    local_rows: int | None = None,
+    local_rows: int = 0,
 ) -> DataFrame:
     """(user_id, lambda) summing to 1: trust flowing along edges, with teleport (1 - delta).
 
     transmit: (src, w) share of its weight a rater passes on. seeds: (user_id, p) teleport distribution (default
     uniform). clip: largest weight a rater may pass on, as a multiple of 1/n. With iterations None it runs until
-    no weight moves by more than the tolerance, which is looked at every fifth step; else exactly that often. Up to
-    local_rows edges (default `local.LOCAL_ROWS`) it runs in memory.
+    no weight moves by more than the tolerance; else exactly that often. What a step passes on is known before it, and
+    so is the sum by which it is scaled. With local_rows, at most so many edges are fetched and iterated in memory instead.
     """
     edges = edges if transmit is None else edges.join(transmit, "src").select("src", "dst", (F.col("t") * F.col("w")).alias("t"))
     edges = cut(edges.select("src", "dst", "t").filter(F.col("t") > 0))
@@ -76,30 +76,28 @@ def eigentrust(
         return users.select("user_id", F.lit(0.0).alias("lambda"))
     base = users.select("user_id") if seeds is None else users.select("user_id").join(seeds.select("user_id", "p"), "user_id", "left")
     tele = F.lit(1.0 / n) if seeds is None else F.coalesce("p", F.lit(0.0))
-    base = cut(base.select("user_id", tele.alias("p")))
-    if bounded(edges, local_rows) and n <= LOCAL_ROWS:
-        return _trust_in_memory(base, edges, s, iterations, clip)
-    now = base.select("user_id", F.lit(1.0 / n).alias("lambda"))
-    total, steps = 1.0, iterations if iterations is not None else s.trust_iterations
-    for k in range(steps):
-        given = F.col("lambda") / F.lit(total)
-        passed = F.least(given, F.lit(clip / n)) if clip is not None else given
-        sent = edges.join(now.select(F.col("user_id").alias("src"), passed.alias("__l")), "src")
-        got = sent.groupBy(F.col("dst").alias("user_id")).agg(F.sum(F.col("t") * F.col("__l")).alias("__in"))
-        new = base.join(got, "user_id", "left").select(
-            "user_id", (F.lit(1.0 - s.delta) * F.col("p") + F.lit(s.delta) * F.coalesce("__in", F.lit(0.0))).alias("lambda")
-        )
-        new = cut(new)
-        size = new.agg(F.sum("lambda")).first()[0] or 1.0
-        if iterations is None and k % 5 == 4:
-            moved = new.join(now.withColumnRenamed("lambda", "__old"), "user_id").agg(
-                F.max(F.abs(F.col("lambda") / F.lit(size) - F.col("__old") / F.lit(total)))
-            )
-            if (moved.first()[0] or 0.0) < s.trust_tolerance:
-                now, total = new, size
-                break
-        now, total = new, size
-    return now.select("user_id", (F.col("lambda") / F.lit(total)).alias("lambda"))
+    given = edges.join(users.select(F.col("user_id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("user_id")).agg(F.sum("t").alias("out"))
+    # out: the share of its weight a rater passes on to raters
+    base = cut(base.select("user_id", tele.alias("p")).join(given, "user_id", "left").select("user_id", "p", F.coalesce("out", F.lit(0.0)).alias("out")))
+    if bounded(edges, local_rows):
+        return _trust_in_memory(base.select("user_id", "p"), edges, s, iterations, clip)
+
+    def passed(weight: Column) -> Column:
+        return F.least(weight, F.lit(clip / n)) if clip is not None else weight
+
+    now = base.withColumn("lambda", F.lit(1.0 / n))
+    seeded, flow = now.agg(F.sum("p"), F.sum(F.col("out") * passed(F.col("lambda")))).first()
+    for _ in range(iterations if iterations is not None else s.trust_iterations):
+        size = (1.0 - s.delta) * seeded + s.delta * flow or 1.0
+        got = edges.join(now.select(F.col("user_id").alias("src"), passed(F.col("lambda")).alias("__l")), "src")
+        got = got.groupBy(F.col("dst").alias("user_id")).agg(F.sum(F.col("t") * F.col("__l")).alias("__in"))
+        new = (F.lit(1.0 - s.delta) * F.col("p") + F.lit(s.delta) * F.coalesce("__in", F.lit(0.0))) / F.lit(size)
+        moved = F.abs(new - F.col("lambda"))
+        now = cut(now.join(got, "user_id", "left").select("user_id", "p", "out", new.alias("lambda"), moved.alias("moved")))
+        flow, most = now.agg(F.sum(F.col("out") * passed(F.col("lambda"))), F.max("moved")).first()
+        if iterations is None and most < s.trust_tolerance:
+            break
+    return now.select("user_id", "lambda")
 
 
 def _trust_in_memory(base: DataFrame, edges: DataFrame, s: Settings, iterations: int | None, clip: float | None) -> DataFrame:

@@ -6,7 +6,7 @@ Draws are fixed by the ids and a seed, not by the order of rows, so a world is t
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -226,13 +226,13 @@ def run(spark: SparkSession, ranker, world: World = World()) -> Result:
         feed = cut(ranker.rank(candidates, posts).select("user_id", "slot", "post_id"))
         extra = explored(candidates, feed, world.epsilon, world.seed + t)
         shown = feed.select("user_id", "post_id", F.lit("organic").alias("source")).unionByName(extra.withColumn("source", F.lit("exploration")))
-        truth = cut(shown.join(people, "user_id").join(posts, "post_id"))
+        truth = cut(shown.join(people, "user_id").join(posts, "post_id").hint("rebalance"))
         reactions = react(truth, seed=world.seed + t).unionByName(vouch(truth, seed=world.seed + t))
         exposures = truth.select("user_id", "post_id", "source")
         if world.ring:
             boosts, told = ring_attack(spark, fresh, world, t)
             reactions, exposures = reactions.unionByName(boosts), exposures.unionByName(told)
-        reactions, exposures = cut(reactions), cut(exposures)
+        reactions, exposures = cut(reactions.hint("rebalance")), cut(exposures.hint("rebalance"))
         value = welfare(audience).join(truth.select("post_id"), "post_id").agg(F.avg("true_value"), F.avg("divisiveness")).first()
         n, toxicity, satisfied, target = truth.agg(
             F.count(F.lit(1)), F.avg("toxicity"), F.avg(approval()), F.sum(F.when(F.col("author_id") == world.ring_target, 1).otherwise(0))
@@ -275,6 +275,8 @@ class BridgingRanker(ChronologicalRanker):
 
     def __init__(self, engine, slots: int = 6):
         super().__init__(slots)
+        # a synthetic world is of a few thousand rows by construction
+        engine.settings = replace(engine.settings, local_rows=1_000_000)
         self.engine = engine
 
     def rank(self, candidates: DataFrame, posts: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Value-frequency compression: rows are folded to (key, value, count) before anything is done per key, so a key
 costs as much as it has distinct values, and the fold itself is partial before the shuffle. Exact distinct
-counts, means, modes and percentiles follow from the weighted values. Percentiles are found by radix
-selection over the value's bits, 16 at a time, so that even a key of unboundedly many distinct values never
-comes together in one task.
+counts, means, modes and percentiles follow from the weighted values. Percentiles come from cumulated counts over
+sampled ranges of the values, so that even a key of unboundedly many distinct values never comes together in one
+task.
 
 Defined cases: null and NaN values count as rows but take no part in mean, mode, distinct count and
 percentile; -0.0 equals 0.0; of equally frequent values the smallest is the mode; keys without any value get
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import cut
+
 
 def compressed(rows: DataFrame, key: Column, value: Column) -> DataFrame:
     """(key, value, n): distinct values of each key with their number of rows; NaN is read as null."""
@@ -43,47 +45,31 @@ def key_statistics(pairs: DataFrame) -> DataFrame:
     )
 
 
-def weighted_percentile(pairs: DataFrame, p: float, digits: int = 16) -> DataFrame:
-    """(key, percentile): the smallest value whose cumulated count reaches p of the key's valued rows.
+def cumulated(pairs: DataFrame) -> DataFrame:
+    """pairs (key, value, n, ...) + run, total: the key's rows up to and including this value, and all of them.
 
-    Values are ranked by radix: the interval that holds the rank is narrowed by a factor 2^digits a round, from
-    per-interval counts only. Intervals are cut evenly between the smallest and largest value still in question,
-    so a round leaves at most one interval per key; keys whose interval is a single value are done.
+    The pairs are cut into ranges of (key, value) by sampled quantiles, so that the ranges are even whatever the values
+    are, and a key of unboundedly many values has many of them; counts are cumulated over the ranges of a key and within
+    each range. The ranges are written once, as both must see the same ones.
     """
+    ranged = cut(pairs.repartitionByRange("key", "value").withColumn("__range", F.spark_partition_id()))
+    sums = ranged.groupBy("key", "__range").agg(F.sum("n").alias("__n"))
+    along = Window.partitionBy("key")
+    sums = sums.select(
+        F.col("key").alias("__k"), F.col("__range").alias("__r"), (F.sum("__n").over(along.orderBy("__range")) - F.col("__n")).alias("__before"), F.sum("__n").over(along).alias("total")
+    )
+    inside = F.sum("n").over(Window.partitionBy("__range", "key").orderBy("value"))
+    joined = ranged.withColumn("__in", inside).join(sums, (F.col("__range") == F.col("__r")) & F.col("key").eqNullSafe(F.col("__k")))
+    return joined.withColumn("run", F.col("__before") + F.col("__in")).drop("__k", "__r", "__before", "__in", "__range")
+
+
+def weighted_percentile(pairs: DataFrame, p: float) -> DataFrame:
+    """(key, percentile): the smallest value whose cumulated count reaches p of the key's valued rows."""
     if not 0 <= p <= 1:
         raise ValueError("p must lie in [0, 1]")
-    rows = pairs.filter(F.col("value").isNotNull()).select("key", "value", "n")
-    total = rows.groupBy("key").agg(
-        F.sum("n").alias("total"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
-    wanted = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(p))).cast("long")
-    state = total.select("key", wanted.alias("rank"), "low", "high")
-    for _ in range(-(-64 // digits) - 1):
-        state = _narrow(rows, state, 1 << digits)
-    # what is left in question spans less than 2^-48 of the range: a handful of neighbouring values
-    last = _inside(rows, state)
-    run = F.sum("n").over(Window.partitionBy("__k").orderBy("value"))
-    reached = last.withColumn("__run", run).filter(F.col("__run") >= F.col("rank"))
-    return reached.groupBy(F.col("__k").alias("key")).agg(F.min("value").alias("percentile"))
-
-
-def _inside(rows: DataFrame, state: DataFrame) -> DataFrame:
-    held = state.withColumnRenamed("key", "__k")
-    on = F.col("key").eqNullSafe(F.col("__k")) & (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
-    return rows.join(held, on)
-
-
-def _narrow(rows: DataFrame, state: DataFrame, parts: int) -> DataFrame:
-    width = (F.col("high") - F.col("low")) / F.lit(float(parts))
-    part = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(parts - 1).cast("long"))).otherwise(F.lit(0))
-    counts = (
-        _inside(rows, state)
-        .groupBy("__k", "rank", part.cast("long").alias("part"))
-        .agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    )
-    run = F.sum("n").over(Window.partitionBy("__k").orderBy("part"))
-    found = counts.withColumn("__run", run).filter((F.col("__run") >= F.col("rank")) & (F.col("__run") - F.col("n") < F.col("rank")))
-    return found.select(F.col("__k").alias("key"), (F.col("rank") - (F.col("__run") - F.col("n"))).alias("rank"), "low", "high")
+    rows = cumulated(pairs.filter(F.col("value").isNotNull()).select("key", "value", "n"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(p))).cast("long")
+    return rows.filter((F.col("run") >= rank) & (F.col("run") - F.col("n") < rank)).select("key", F.col("value").alias("percentile"))
 
 
 def heavy_keys(pairs: DataFrame, share_inverse: int = 50, rows: DataFrame | None = None) -> DataFrame:
