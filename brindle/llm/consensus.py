@@ -3,19 +3,23 @@
 Spectral reliability: votes are centred by chance (the share of each label among all votes), and the
 annotators' weights are the leading eigenvector of their mean centred agreement, each row corrected for the
 number of votes the annotator shares with the others. It is found by power iteration through sparse joins
-annotator -> item -> annotator; the annotator-by-annotator matrix is never formed. The weighted votes give a
-first consensus; the annotators' confusion against it then gives each vote its log-likelihood, which also makes
-use of annotators who are reliably wrong.
+annotator -> item -> annotator; the annotator-by-annotator matrix is never formed. The weights weight the votes: the
+first consensus is the weighted sum of the centred votes; from it follows what a vote for a label is worth at each
+degree of reliability (one table for all annotators of about the same weight, so that the reliably wrong count
+against their own label), and the label of an item is the one with the greatest sum over its votes.
 
 Defined cases: an annotator's name is read without letter case and surrounding blanks; of several votes of an
 annotator on an item the newest valid one counts, at equal time the greater value; null, NaN and other values
 are no votes; null items, annotators or times: the vote is left out if item or annotator is null, an unknown time is
 the oldest; ties between labels go to the greater label; empty input gives empty results; extra columns are
-ignored. Weights shrink towards 0 for annotators with few shared votes.
+ignored. Weights shrink towards 0 for annotators with few shared votes; a warning is given where the iteration ends
+before the weights have settled.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +31,17 @@ from brindle.session import cut
 @dataclass(frozen=True)
 class Spectral:
     labels: tuple[int, ...] = (-1, 0, 1)
-    iterations: int = 12  # rounds of the power iteration
+    iterations: int = 30  # most rounds of the power iteration
+    tolerance: float = 1e-5  # it ends when the cosine of successive weights is within this of 1
     shrink: float = 5.0  # votes added to an annotator's count, as of no agreement
-    rounds: int = 2  # re-estimations of the annotators' confusion
-    prior: float = 3.0  # votes added to each row of a confusion, spread as all annotators vote
+    steps: int = 8  # degrees of reliability in a unit of weight (the mean absolute weight), from -1 to 2
+    rounds: int = 2  # estimations of what votes are worth
     least_raters: int = 5
 
+    @property
+    def degrees(self) -> int:
+        return 3 * self.steps
+
 
 def newest_votes(ratings: DataFrame, item: str, annotator: str, value: str, time: str, labels: tuple[int, ...]) -> DataFrame:
     """(item, rater, label): one vote per item and annotator."""
@@ -47,37 +56,66 @@ def newest_votes(ratings: DataFrame, item: str, annotator: str, value: str, time
     )
 
 
-def _by_label(labels: tuple[int, ...], f) -> list[Column]:
-    return [f(k, x) for k, x in enumerate(labels)]
+def _shares(votes: DataFrame, labels: tuple[int, ...]) -> list[float]:
+    """Share of each label among all votes."""
+    counts = {r["label"]: r["n"] for r in votes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values()) or 1
+    return [counts.get(x, 0) / total for x in labels]
+
+
+def _of_label(labels: tuple[int, ...], values: list[Column]) -> Column:
+    """The value that belongs to a row's label."""
+    out = values[-1]
+    for x, v in list(zip(labels, values))[:-1]:
+        out = F.when(F.col("label") == x, v).otherwise(out)
+    return out
 
 
 def reliability(votes: DataFrame, how: Spectral) -> DataFrame:
-    """(rater, weight, n): entries of the leading eigenvector, scaled to a mean absolute weight of 1."""
-    shares = {r["label"]: r["n"] for r in votes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(shares.values()) or 1
-    p = [shares.get(x, 0) / total for x in how.labels]
-    z = [F.when(F.col("label") == x, 1.0 - p[k]).otherwise(-p[k]) for k, x in enumerate(how.labels)]
-    weights = cut(votes.groupBy("rater").agg(F.lit(1.0).alias("weight"), F.count(F.lit(1)).alias("n")))
+    """(rater, weight, n): entries of the leading eigenvector, scaled to a mean absolute weight of 1.
+
+    A round is a product with the votes' matrix and one with its transpose: an item collects the weights behind each
+    label, an annotator the centred agreement with them, less its own part.
+    """
+    p = _shares(votes, how.labels)
+    K, norm = len(p), sum(x * x for x in p)
+    # squared length of a centred vote: the annotator's agreement with itself
+    own = _of_label(how.labels, [F.lit(1.0 - 2.0 * x + norm) for x in p])
+    weights = cut(votes.groupBy("rater").agg(F.lit(1.0).alias("weight"), F.count(F.lit(1)).alias("n"), F.sum(own).alias("own")))
+    scale = 1.0
     for _ in range(how.iterations):
-        weighted = votes.join(weights.select("rater", "weight"), "rater")
-        sums = weighted.groupBy("item").agg(
-            *[F.sum(F.col("weight") * z[k]).alias(f"t{k}") for k in range(len(p))],
+        given = weights.select("rater", (F.col("weight") * F.lit(scale)).alias("weight"), "n", "own")
+        behind = votes.join(given.select("rater", "weight"), "rater").groupBy("item").agg(
+            *[F.sum(F.when(F.col("label") == x, F.col("weight")).otherwise(0.0)).alias(f"s{k}") for k, x in enumerate(how.labels)],
             F.sum(F.abs("weight")).alias("mass"),
         )
-        # agreement with all others on the item, without the annotator's own share
-        own = [F.col(f"t{k}") - F.col("weight") * z[k] for k in range(len(p))]
-        agree = sum((own[k] * z[k] for k in range(1, len(p))), own[0] * z[0])
-        raw = (
-            weighted.join(sums, "item")
-            .groupBy("rater")
-            .agg(F.sum(agree).alias("a"), F.sum(F.col("mass") - F.abs("weight")).alias("b"), F.count(F.lit(1)).alias("n"))
-            .select("rater", (F.coalesce(F.try_divide("a", "b"), F.lit(0.0)) * F.col("n") / (F.col("n") + F.lit(how.shrink))).alias("raw"), "n")
+        everything = sum((F.col(f"s{k}") for k in range(1, K)), F.col("s0"))
+        centred = [F.col(f"s{k}") - F.lit(p[k]) * everything for k in range(K)]
+        chance = sum((F.lit(p[k]) * centred[k] for k in range(1, K)), F.lit(p[0]) * centred[0])
+        behind = behind.select("item", *[(c - chance).alias(f"v{k}") for k, c in enumerate(centred)], "mass")
+        met = votes.join(behind, "item").groupBy("rater").agg(
+            F.sum(_of_label(how.labels, [F.col(f"v{k}") for k in range(K)])).alias("a"), F.sum("mass").alias("b")
         )
-        raw = cut(raw)
-        mean, signed = raw.agg(F.avg(F.abs("raw")), F.sum(F.col("raw") * F.sqrt("n"))).first()
+        w, n = F.col("weight"), F.col("n")
+        agreed = F.try_divide(F.col("a") - w * F.col("own"), F.when(F.col("b") - n * F.abs(w) > 1e-9, F.col("b") - n * F.abs(w)))
+        raw = F.coalesce(agreed, F.lit(0.0)) * n / (n + F.lit(how.shrink))
+        weights = cut(given.join(met, "rater").select("rater", raw.alias("weight"), "n", "own", w.alias("before")))
+        new, old = F.col("weight"), F.col("before")
+        mean, signed, both, ours, theirs = weights.agg(F.avg(F.abs(new)), F.sum(new * F.sqrt("n")), F.sum(new * old), F.sum(new * new), F.sum(old * old)).first()
         scale = (1.0 / mean if mean else 0.0) * (-1.0 if (signed or 0) < 0 else 1.0)
-        weights = raw.select("rater", (F.col("raw") * F.lit(scale)).alias("weight"), "n")
-    return weights
+        if not mean or 1.0 - abs(both) / math.sqrt(ours * theirs) < how.tolerance:
+            break
+    else:
+        warnings.warn(f"annotators' weights still moved after {how.iterations} rounds", stacklevel=2)
+    return weights.select("rater", (F.col("weight") * F.lit(scale)).alias("weight"), "n")
+
+
+def _best(scores: list[Column], labels: tuple[int, ...]) -> Column:
+    """The label of the greatest score, of equal ones the greatest label."""
+    best, out = F.greatest(*scores), None
+    for x, s in zip(labels, scores):
+        out = F.when(s == best, F.lit(x)) if out is None else F.when(s == best, F.lit(x)).otherwise(out)
+    return out.cast("int")
 
 
 def consensus(votes: DataFrame, weights: DataFrame, how: Spectral) -> DataFrame:
@@ -85,74 +123,46 @@ def consensus(votes: DataFrame, weights: DataFrame, how: Spectral) -> DataFrame:
 
     agreement: chance-corrected share of agreeing pairs of votes on the item (1 all agree, 0 as by chance).
     """
-    K = len(how.labels)
-    counts = votes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r["n"] for r in counts) or 1
-    share = {r["label"]: r["n"] / total for r in counts}
-    weighted = votes.join(weights.select("rater", "weight"), "rater")
-    score = weighted.groupBy("item").agg(
-        *_by_label(
-            how.labels,
-            lambda k, x: F.sum(F.col("weight") * (F.when(F.col("label") == x, 1.0).otherwise(0.0) - F.lit(share.get(x, 0.0)))).alias(f"s{k}"),
-        )
+    K, D, p = len(how.labels), how.degrees, _shares(votes, how.labels)
+    degree = F.least(F.greatest(F.floor((F.col("weight") + 1.0) * how.steps), F.lit(0)), F.lit(D - 1)).cast("int")
+    # equal votes of an item are folded, so that a hot item costs as many rows as there are degrees and labels
+    cells = cut(
+        votes.join(weights.select("rater", "weight"), "rater")
+        .groupBy("item", "label", degree.alias("degree"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     )
-    best = F.greatest(*[F.col(f"s{k}") for k in range(K)])
-    hard = None
-    for k in range(K):  # ties: the greater label
-        hard = F.when(F.col(f"s{k}") == best, F.lit(k)) if hard is None else F.when(F.col(f"s{k}") == best, F.lit(k)).otherwise(hard)
-    soft = score.select("item", *[F.when(hard == k, 1.0).otherwise(0.0).alias(f"q{k}") for k in range(K)])
+    centred = [F.sum(F.col("w") * (F.when(F.col("label") == x, 1.0).otherwise(0.0) - F.lit(p[k]))) for k, x in enumerate(how.labels)]
+    counted = [F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(how.labels)]
+    scored = cells.groupBy("item").agg(*[s.alias(f"e{k}") for k, s in enumerate(centred)], *counted)
+    scores = [F.col(f"e{k}") for k in range(K)]
+    now = cut(scored.select("item", _best(scores, how.labels).alias("now"), *scores, *[f"c{k}" for k in range(K)]))
     for _ in range(how.rounds):
-        soft = cut(_revote(votes, soft, how))
-    best = F.greatest(*[F.col(f"q{k}") for k in range(K)])
-    label = None
-    for k, x in enumerate(how.labels):
-        label = F.when(F.col(f"q{k}") == best, F.lit(x)) if label is None else F.when(F.col(f"q{k}") == best, F.lit(x)).otherwise(label)
-    chance = sum(s * s for s in share.values())
-    spread = votes.groupBy("item").agg(
-        F.count(F.lit(1)).alias("n_raters"),
-        *_by_label(how.labels, lambda k, x: F.sum(F.when(F.col("label") == x, 1.0).otherwise(0.0)).alias(f"c{k}")),
-    )
-    n = F.col("n_raters")
+        worth, prior = _worth(cells, now, how)
+        at = F.col("degree") * K + _of_label(how.labels, [F.lit(j) for j in range(K)])
+        logs = [F.sum(F.col("n") * F.get(F.array(*[F.lit(worth[g][k][j]) for g in range(D) for j in range(K)]), at)).alias(f"e{k}") for k in range(K)]
+        voted = cells.groupBy("item").agg(*logs).select("item", *[(F.col(f"e{k}") + F.lit(prior[k])).alias(f"e{k}") for k in range(K)])
+        counts = now.select("item", *[f"c{k}" for k in range(K)])
+        now = cut(voted.join(counts, "item").select("item", _best(scores, how.labels).alias("now"), *scores, *[f"c{k}" for k in range(K)]))
+    top = F.greatest(*scores)
+    mass = sum((F.exp(F.col(f"e{k}") - top) for k in range(1, K)), F.exp(F.col("e0") - top))
+    n = sum((F.col(f"c{k}") for k in range(1, K)), F.col("c0"))
     pairs = sum((F.col(f"c{k}") * (F.col(f"c{k}") - 1.0) for k in range(1, K)), F.col("c0") * (F.col("c0") - 1.0))
-    observed = F.try_divide(pairs, n * (n - 1))
+    observed, chance = F.try_divide(pairs, n * (n - 1)), sum(x * x for x in p)
     agreement = (observed - F.lit(chance)) / F.lit(1.0 - chance) if chance < 1 else observed
-    return soft.join(spread, "item").select("item", label.cast("int").alias("label"), best.alias("confidence"), agreement.alias("agreement"), "n_raters")
+    return now.select("item", F.col("now").alias("label"), (1.0 / mass).alias("confidence"), agreement.alias("agreement"), n.alias("n_raters"))
 
 
-def _revote(votes: DataFrame, soft: DataFrame, how: Spectral) -> DataFrame:
-    """Posteriors of the labels from each annotator's confusion against the present ones."""
-    K = len(how.labels)
-    q = [F.col(f"q{k}") for k in range(K)]
-    joined = votes.join(soft, "item")
-    cells = joined.groupBy("rater").agg(
-        *[F.sum(F.when(F.col("label") == x, q[k]).otherwise(0.0)).alias(f"c{k}_{j}") for k in range(K) for j, x in enumerate(how.labels)]
-    )
-    cells = cut(cells)
-    sums = cells.agg(*[F.sum(f"c{k}_{j}") for k in range(K) for j in range(K)]).first()
-    grid = [[(sums[k * K + j] or 0.0) for j in range(K)] for k in range(K)]
-    mean = [[(grid[k][j] + 1.0) / (sum(grid[k]) + K) for j in range(K)] for k in range(K)]
-    items = soft.agg(*[F.sum(f"q{k}") for k in range(K)]).first()
-    size = sum(x or 0.0 for x in items) + K
-    log_prior = [F.log(F.lit(((items[k] or 0.0) + 1.0) / size)) for k in range(K)]
-
-    def log_chance(k: int, j: int) -> Column:
-        row = sum((F.col(f"c{k}_{i}") for i in range(1, K)), F.col(f"c{k}_0"))
-        return F.log((F.col(f"c{k}_{j}") + F.lit(how.prior * mean[k][j])) / (row + F.lit(how.prior)))
-
-    tables = cells.select("rater", *[log_chance(k, j).alias(f"l{k}_{j}") for k in range(K) for j in range(K)])
-
-    def evidence(k: int) -> Column:
-        out = F.lit(0.0)
-        for j, x in enumerate(how.labels):
-            out = F.when(F.col("label") == x, F.col(f"l{k}_{j}")).otherwise(out)
-        return out
-
-    logs = votes.join(tables, "rater").groupBy("item").agg(*[F.sum(evidence(k)).alias(f"e{k}") for k in range(K)])
-    logs = logs.select("item", *[(F.col(f"e{k}") + log_prior[k]).alias(f"e{k}") for k in range(K)])
-    top = F.greatest(*[F.col(f"e{k}") for k in range(K)])
-    parts = [F.exp(F.col(f"e{k}") - top) for k in range(K)]
-    norm = sum(parts[1:], parts[0])
-    return logs.select("item", *[(parts[k] / norm).alias(f"q{k}") for k in range(K)])
+def _worth(cells: DataFrame, now: DataFrame, how: Spectral) -> tuple[list, list]:
+    """log P(vote | label of the item, degree of reliability), and log P(label), from the present labels."""
+    K, D = len(how.labels), how.degrees
+    at = {x: k for k, x in enumerate(how.labels)}
+    table = [[[1.0] * K for _ in range(K)] for _ in range(D)]
+    got = cells.join(now.select("item", "now"), "item").groupBy("degree", "now", "label").agg(F.sum("n").alias("n"))
+    for r in got.collect():  # at most degrees * labels * labels rows
+        table[r["degree"]][at[r["now"]]][at[r["label"]]] += r["n"]
+    items = {r["now"]: r["n"] for r in now.groupBy("now").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = sum(items.values()) + K
+    return [[[math.log(v / sum(row)) for v in row] for row in t] for t in table], [math.log((items.get(x, 0) + 1.0) / size) for x in how.labels]
 
 
 def note_votes(ratings: DataFrame, how: Spectral = Spectral()) -> DataFrame:
@@ -169,5 +179,3 @@ def rater_reliability(ratings: DataFrame, how: Spectral = Spectral()) -> DataFra
     """(raterId, weight, n): weight 1 is the usual reliability, 0 none, below 0 reliably wrong."""
     votes = note_votes(ratings, how)
     return reliability(votes, how).withColumnRenamed("rater", "raterId")
-
-
