@@ -6,10 +6,12 @@ ratio of wanted to present tokens is then the expected number of copies of its d
 whole part of it, and once more with the probability of the rest, by a fixed hash of mix and document.
 
 Defined cases: documents without a source take no part; null texts have no tokens; languages are reduced to
-two letters, all else is `und`; topics to their agenda number, all else is `other` (so the cells of a mix are
-bounded by form: 676 languages, 100 numbers); a null or negative share counts as 0, a null cap as 1; a source
+two letters, all else is `und`; topics to their agenda number (a letter and up to four digits), all else is `other`, so
+the cells of a mix are bounded by form; a null or negative share counts as 0, a null cap as 1; a source
 listed twice in a mix counts once; a source without documents cannot reach a positive share; a source that
-cannot reach its share is used to its cap, the others keep their sizes, and the reached shares are reported.
+cannot reach its share is used to its cap, the others keep their sizes, and the reached shares are reported. Whether a
+source reaches its share is read off its raked size; within rounding of the target the token counts decide. `misfit` of
+a plan is how far the languages' and topics' shares are still off, as a share of all tokens: the caps may not allow them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from brindle.session import cut
 
 #: Codes of three letters that the corpus uses for languages of two.
 LANGUAGES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr"}
-ROUNDS, TOLERANCE = 200, 1e-9
+ROUNDS, TOLERANCE = 1000, 1e-9
+#: Raked sizes within this share of their target are settled by the exact counts.
+ROUNDING = 1e-6
 
 
 def language(lang: Column) -> Column:
@@ -35,7 +39,7 @@ def language(lang: Column) -> Column:
 
 
 def topic(agenda_item: Column) -> Column:
-    number = F.regexp_extract(agenda_item, r"^\s*(A\d\d)\b", 1)
+    number = F.regexp_extract(agenda_item, r"^\s*([A-Z]\d{2,4})\b", 1)
     return F.when(number != "", number).otherwise("other")
 
 
@@ -79,7 +83,7 @@ def rake(tokens: np.ndarray, cap: np.ndarray, margins: list[tuple[np.ndarray, np
 
 _PLAN = (
     "mix_id int, source string, lang string, topic string, target_share double, max_repeat int, source_tokens long, "
-    "total_tokens long, reachable boolean, cell_tokens long, copies double"
+    "total_tokens long, reachable boolean, cell_tokens long, copies double, misfit double"
 )
 
 
@@ -90,17 +94,22 @@ def _plan_mix(rows: pd.DataFrame) -> pd.DataFrame:
     total = rows["total_tokens"].to_numpy(dtype=float)
     source, names = pd.factorize(rows["source"])
     wanted = np.zeros(len(names))
-    wanted[source] = np.minimum(share * total, cap * rows["source_tokens"].to_numpy(dtype=float))
+    wanted[source] = share * total
+    within = np.zeros(len(names))
+    within[source] = np.minimum(share * total, cap * rows["source_tokens"].to_numpy(dtype=float))
     margins = [(source, wanted)]
     for c in ("lang", "topic"):
         group, values = pd.factorize(rows[c])
         of_corpus = np.zeros(len(values))
         of_corpus[group] = rows[f"{c}_tokens"].to_numpy(dtype=float)
-        margins.append((group, of_corpus / max(of_corpus.sum(), 1.0) * wanted.sum()))
+        margins.append((group, of_corpus / max(of_corpus.sum(), 1.0) * within.sum()))
     w = rake(tokens, cap, margins)
+    size = np.bincount(source, w, len(names))[source]
     rows["copies"] = np.minimum(np.divide(w, tokens, out=np.zeros(len(w)), where=tokens > 0), cap)
-    short = [int(r) * int(n) < s * int(t) for r, n, s, t in zip(rows["max_repeat"], rows["source_tokens"], share, rows["total_tokens"])]
-    rows["reachable"] = ~np.array(short, dtype=bool)
+    exact = np.array([int(r) * int(n) < s * int(t) for r, n, s, t in zip(rows["max_repeat"], rows["source_tokens"], share, rows["total_tokens"])], dtype=bool)
+    near = np.abs(size - wanted[source]) <= ROUNDING * wanted[source]
+    rows["reachable"] = ~np.where(near, exact, size < wanted[source])
+    rows["misfit"] = max(float(np.abs(np.bincount(g, w, len(t)) - t).sum()) for g, t in margins[1:]) / max(within.sum(), 1.0)
     return rows[[c.split()[0] for c in _PLAN.split(", ")]]
 
 
@@ -155,6 +164,7 @@ def reached(plan: DataFrame, taken: DataFrame) -> DataFrame:
         F.max("source_tokens").alias("source_tokens"),
         F.min("reachable").alias("reachable"),
         F.sum(F.col("copies") * F.col("cell_tokens")).alias("planned_tokens"),
+        F.max("misfit").alias("misfit"),
     )
     got = taken.groupBy("mix_id", "source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("sampled_tokens"), F.max("copies").alias("most_copies")
