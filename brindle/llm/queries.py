@@ -53,6 +53,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return levels.filter(F.col("band").isNotNull()).select("doc_id", "band")
 
 
+def p9_two_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Bands by the two-term formula alone: share of words outside the list and sentence length."""
+    levels = reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"), reading.ReadingModel(two_terms=True))
+    return levels.filter(F.col("band").isNotNull()).select("doc_id", "band")
+
+
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
@@ -66,6 +72,7 @@ QUERIES = {
     "p8_shares": p8_shares,
     "p8_sample": p8_sample,
     "p9_found": p9_found,
+    "p9_two_terms": p9_two_terms,
     "p9_levels": p9_levels,
 }
 

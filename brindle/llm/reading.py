@@ -1,11 +1,13 @@
 """Reading level of each document: a familiar-word formula whose word list comes from the corpus itself.
 
 A document's language is that whose most frequent words cover it best (the given `lang` is sometimes missing or
-wrong). Words are familiar by the share of the documents given as of that language that hold them. The formula combines the
-share of words outside the list at several familiarities, sentence length and word length; its weights are fitted by
-ridge-penalised multinomial logistic regression on labelled documents (at most `max_labels`, see `ReadingModel`).
+wrong). Words are familiar by the share of the documents given as of that language that hold them. The two-term formula is
+the share of words outside the list and the average sentence length (its logarithm); the full one takes the share at
+several familiarities and adds word length and the share of long sentences. The weights of either and the familiarity of
+the two-term list are fitted by ridge-penalised multinomial logistic regression on labelled documents (at most
+`max_labels`, see `ReadingModel`).
 
-Defined cases: interjections in brackets are not read; full stops of abbreviations, initials and numbers end no
+Defined cases: interjections in brackets (of at most 300 characters: longer ones are unclosed and hold speech) are not read; full stops of abbreviations, initials and numbers end no
 sentence; null, empty and wordless texts have NULL features and no level; documents of fewer than `min_words`
 words get features and no level; labels of unknown documents, null or other labels are ignored, several labels of a
 document count as several; with labels of a single band all documents get that band; without labels there is no
@@ -34,7 +36,6 @@ LEVELS = (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3)
 #: Words in fewer documents than this share are in no list. A list thus holds at most (mean distinct words of a document) / LISTED words.
 LISTED = 0.005
 PROFILE = 60  # most frequent words that tell a language
-LANGUAGES = 16  # most frequent languages that are told apart
 FEATURES = len(LEVELS) + 5
 
 _DROP = re.compile(r"\[[^\]]{0,300}\]|\([^)]{0,300}\)")
@@ -100,19 +101,24 @@ class WordLists:
     """Familiar words by language, and the most frequent of them, by which a text's language is told."""
 
     def __init__(self, shares: dict[str, dict[str, float]], sizes: dict[str, int]):
-        most = sorted(shares, key=lambda g: (-sizes[g], g))[:LANGUAGES]
+        most = sorted(shares, key=lambda g: (-sizes[g], g))
         self.shares = {g: _Shares(shares[g]) for g in most}
         self.profiles = {g: frozenset(sorted(shares[g], key=lambda w: (-shares[g][w], w))[:PROFILE]) for g in most}
 
     @classmethod
     def of(cls, texts: DataFrame) -> WordLists:
-        """From the document frequencies of all (lang, text); documents of no known language are counted as `und`."""
+        """From the document frequencies of all (lang, text); documents of no known language are counted as `und`.
+
+        Languages are two letters by form, so there are at most 676 lists, each bounded by LISTED.
+        """
         counts = cut(texts.mapInArrow(_document_frequencies, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-        sizes = {r["lang"]: r["n"] for r in counts.filter((F.col("word") == "") & (F.col("lang") != "und")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+        counts = counts.filter(F.col("lang") != "und")
+        sizes = {r["lang"]: r["n"] for r in counts.filter("word = ''").collect()}
+        least = counts.filter("word = ''").select(F.col("lang").alias("__g"), (F.col("n") * F.lit(LISTED)).alias("__least"))
+        kept = counts.filter("word <> ''").join(least, F.col("lang") == F.col("__g")).filter(F.col("n") >= F.col("__least"))
         shares: dict[str, dict[str, float]] = {g: {} for g in sizes}
-        for g, n in sizes.items():
-            kept = counts.filter((F.col("lang") == g) & (F.col("word") != "") & (F.col("n") >= F.lit(LISTED * n)))
-            shares[g] = {r["word"]: r["n"] / n for r in kept.collect()}  # bounded: see LISTED
+        for r in kept.select("lang", "word", "n").collect():
+            shares[r["lang"]][r["word"]] = r["n"] / sizes[r["lang"]]
         return cls(shares, sizes)
 
     def language(self, words: set[str]) -> str | None:
@@ -174,7 +180,18 @@ def fit_bands(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 6
     return {"mean": mean, "scale": scale, "weights": b, "bands": bands}
 
 
+#: Columns of the two-term formula at each familiarity: share of words outside the list, log of words a sentence.
+TWO_TERMS = [[k, len(LEVELS)] for k in range(len(LEVELS))]
+
+
+def fit_two_terms(x: np.ndarray, y: np.ndarray) -> dict:
+    """The two-term formula at the familiarity that fits the labels best, of equal ones the lowest."""
+    fits = [fit_bands(x[:, c], y) | {"columns": c} for c in TWO_TERMS]
+    return max(fits, key=lambda m: (predict_bands(m, x) == y).sum())
+
+
 def predict_bands(model: dict, x: np.ndarray) -> np.ndarray:
+    x = x[:, model["columns"]] if "columns" in model else x
     z = np.c_[(x - model["mean"]) / model["scale"], np.ones(len(x))]
     return np.array(model["bands"])[(z @ model["weights"]).argmax(1)]
 
@@ -185,11 +202,12 @@ class ReadingModel:
 
     min_words: int = MIN_WORDS
     max_labels: int = 10_000
+    two_terms: bool = False
 
     def levels(self, documents: DataFrame, labels: DataFrame) -> DataFrame:
         """(doc_id, band, unfamiliar, sentence_words, word_letters) of all documents; band NULL where there is no level."""
         lists = WordLists.of(documents.select(language(F.col("lang")).alias("lang"), F.col("text")))
-        shared = documents.sparkSession.sparkContext.broadcast(lists)  # bounded: see LISTED and LANGUAGES
+        shared = documents.sparkSession.sparkContext.broadcast(lists)  # bounded: see LISTED
 
         def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -204,7 +222,8 @@ class ReadingModel:
         )
         known = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "band")
         rows = sorted((r["band"], tuple(r["x"])) for r in known.mapInArrow(features, "x array<double>, band int").collect())
-        model = fit_bands(np.array([r[1] for r in rows]), np.array([r[0] for r in rows])) if rows else None
+        fitted = fit_two_terms if self.two_terms else fit_bands
+        model = fitted(np.array([r[1] for r in rows]), np.array([r[0] for r in rows])) if rows else None
         least = self.min_words
 
         def level(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
