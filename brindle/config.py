@@ -42,7 +42,7 @@ class Settings:
     reg_author: float = 0.05
     mf_tolerance: float = 1e-5
     inner_iterations: int = 2
-    local_rows: int = 0  # rows up to which iterations may run in memory on the driver; 0: never
+    local_rows: int = 1_000_000  # a window of at most so many rows, counted first, iterates in memory on the driver; 0: never
     # bridging
     n0: float = 8.0
     aggregator: str = "nash"
@@ -117,3 +117,9 @@ class Settings:
 
     def clamp_epsilon(self, epsilon: float, floor: float | None = None) -> float:
         return min(self.epsilon_max, max(self.epsilon_min if floor is None else floor, epsilon))
+
+
+#: Defaults of the live service: a one-signed network of likes, where a cluster that says nothing must not pass for one that
+#: approves, and budgets that bind.
+SERVICE = Settings(d=16, clusters=2, mf_iterations=20, budget_base=8.0, budget_max=80.0, subtractive=True, aggregator="min")
+SERVICE_KNOBS = Knobs(M=0.8)

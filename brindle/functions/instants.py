@@ -11,7 +11,8 @@ import re
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
-from zoneinfo import ZoneInfo
+from importlib import resources
+from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ US = 1_000_000
 UNIT_LIMITS = (100_000_000_000, 100_000_000_000_000, 100_000_000_000_000_000)
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 UTC_NAMES = ("utc", "gmt", "ut", "z")
-#: Span covered by the transition tables; instants outside take the offset at the nearer end.
-TABLE_FROM, TABLE_TO, TABLE_STEP_DAYS = 1970, 2060, 3
+_ZONE_NAME = re.compile(r"[A-Za-z0-9_+-]+(/[A-Za-z0-9_+-]+)*")
+#: Years covered by a zone's table, and by the longer one for wall clocks outside; the calendar repeats after 400 years, and
+#: before the first year local mean time holds.
+NEAR, FAR, CYCLE_S, TABLE_STEP_DAYS = (1970, 2060), (1850, 2460), 146_097 * 86_400, 3
 
 
 # ---------------------------------------------------------------------------------------------
@@ -71,13 +74,31 @@ def double_us(x: Column) -> Column:
 
 
 def zone_version() -> str:
-    """Version of the zone database the tables are built from."""
+    """Version of the zone database the tables are built from: that of the package `tzdata`, else of the system."""
     try:
         import tzdata
 
         return str(tzdata.IANA_VERSION)
     except ImportError:
-        return "system"
+        for root in TZPATH:
+            try:
+                with open(f"{root}/tzdata.zi") as f:
+                    return f.readline().rpartition(" ")[2].strip()
+            except OSError:
+                continue
+        return "unknown"
+
+
+def _zone(name: str) -> ZoneInfo:
+    """The zone from the same database as `zone_version`; what Python itself prefers may be another."""
+    if not _ZONE_NAME.fullmatch(name):
+        raise ValueError(name)
+    try:
+        import tzdata  # noqa: F401
+    except ImportError:
+        return ZoneInfo(name)
+    with resources.files("tzdata").joinpath("zoneinfo", *name.split("/")).open("rb") as f:
+        return ZoneInfo.from_file(f, key=name)
 
 
 class ZoneTable:
@@ -92,11 +113,19 @@ class ZoneTable:
         self.late = at_ + after  # wall clock from which the later reading uses the new offset
         self.early = at_ + np.maximum(before, after)  # the same for the earlier reading
 
+    @staticmethod
+    def of(name: str, wall: np.ndarray) -> ZoneTable | None:
+        """The table of a zone that reaches these wall clocks."""
+        low, high = ((y - 1970) * 31_556_952 for y in (NEAR[0], NEAR[1] - 1))
+        return zone_table(name, len(wall) > 0 and (wall.min() < low + 172_800 or wall.max() > high))
+
     def instants(self, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Later and earlier instant (seconds) of wall clocks; a skipped one takes the offset before the change."""
+        given = wall
+        wall = _within(wall)
         later = wall - self.offset[np.searchsorted(self.late, wall, side="right")]
         earlier = wall - self.offset[np.searchsorted(self.early, wall, side="right")]
-        return later, earlier
+        return later + (given - wall), earlier + (given - wall)
 
     def by_abbreviation(self, name: str, wall: np.ndarray) -> np.ndarray | None:
         """Instants of wall clocks marked with an abbreviation of this zone: the offset it last meant by then."""
@@ -104,14 +133,20 @@ class ZoneTable:
         if not periods:
             return None
         starts = np.array([self.late[i - 1] if i else np.iinfo(np.int64).min for i in periods], dtype=np.int64)
-        at = np.maximum(np.searchsorted(starts, wall + 86_400, side="right") - 1, 0)
+        at = np.maximum(np.searchsorted(starts, _within(wall) + 86_400, side="right") - 1, 0)
         return wall - self.offset[np.array(periods)[at]]
 
 
+def _within(wall: np.ndarray) -> np.ndarray:
+    """Wall clocks beyond the longer table, moved back by whole cycles of the calendar."""
+    end = (FAR[1] - 1 - 1970) * 31_556_952
+    return wall - np.maximum(0, -((end - wall) // CYCLE_S)) * CYCLE_S
+
+
 @lru_cache(maxsize=700)
-def zone_table(name: str) -> ZoneTable | None:
+def zone_table(name: str, far: bool = False) -> ZoneTable | None:
     try:
-        zone = ZoneInfo(name)
+        zone = _zone(name)
     except Exception:  # unknown or malformed key
         return None
 
@@ -119,7 +154,7 @@ def zone_table(name: str) -> ZoneTable | None:
         d = datetime.fromtimestamp(t, timezone.utc).astimezone(zone)
         return int((d.utcoffset() or timedelta()).total_seconds()), d.tzname() or ""
 
-    first, last = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (TABLE_FROM, TABLE_TO))
+    first, last = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (FAR if far else NEAR))
     t, now = first, state(first)
     at, offsets, abbrs = [], [now[0]], [now[1]]
     while t < last:
@@ -261,12 +296,12 @@ def _resolve(tail: bytes, client: str, wall: np.ndarray) -> tuple[np.ndarray | N
         return at, at
     name = tail.decode("latin1").strip()
     if not name:
-        table = zone_table(client or "UTC") or zone_table("UTC")
+        table = ZoneTable.of(client or "UTC", wall) or ZoneTable.of("UTC", wall)
         return table.instants(wall)
     if "/" in name:
-        table = zone_table(name)
+        table = ZoneTable.of(name, wall)
         return table.instants(wall) if table else (None, None)
-    table = zone_table(client) if client else None
+    table = ZoneTable.of(client, wall) if client else None
     at = table.by_abbreviation(name.lower(), wall) if table and len(name) > 1 else None
     if at is None and name.lower() in UTC_NAMES:
         at = wall
@@ -289,8 +324,8 @@ def parse_batch(text: pa.Array, zone: pa.Array, day_first: pa.Array, own_us: pa.
     n = len(text)
     out, ok = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     text = pc.utf8_trim_whitespace(text.cast(pa.large_string()))
-    plain = pc.and_kleene(pc.string_is_ascii(text), pc.less(pc.binary_length(text), 80))
-    text = pc.if_else(plain, text, None)
+    # the name of the zone behind an offset says nothing more, in whatever language and length
+    text = pc.replace_substring_regex(text, r"(?s)([A-Za-z]{3}[+-][0-9]{2}:?[0-9]{2}) \(.*\)$", r"\1")
     mask = pc.replace_substring_regex(pc.replace_substring_regex(text, r"[A-Za-z]", "A"), r"[0-9]", "9").dictionary_encode()
     codes = mask.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     zones = zone.fill_null("").to_numpy(zero_copy_only=False).astype(str)
@@ -299,7 +334,7 @@ def parse_batch(text: pa.Array, zone: pa.Array, day_first: pa.Array, own_us: pa.
     by = np.argsort(codes, kind="stable")
     edges = np.searchsorted(codes[by], np.arange(len(mask.dictionary) + 1))
     for code, shape in enumerate(mask.dictionary.to_pylist()):
-        parser = parser_of(shape)
+        parser = parser_of(shape) if len(shape) < 200 else parser_of.__wrapped__(shape)
         if parser is None or not shape:
             continue
         at = by[edges[code] : edges[code + 1]]

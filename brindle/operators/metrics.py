@@ -142,14 +142,14 @@ def dense_slice(reactions: DataFrame, n_users: int, n_items: int) -> DataFrame:
 
 
 def balanced_auc(rows: DataFrame, score: str, label: str, key: str, draws: int = 25, seed: int = 0) -> DataFrame:
-    """One row: mean AUC over draws that take as many of the larger class as the smaller has (by hash of key and draw)."""
+    """One row: mean AUC, to nine digits, over draws that take as many of the larger class as the smaller has (by hash of key and draw)."""
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     least = sizes.agg(F.min("n").alias("n")).scalar()
     drawn = rows.select(key, score, label, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    order = F.struct(F.xxhash64(key, "draw", F.lit(seed)), F.col(key))
+    order = F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), F.col(key))
     dealt = drawn.select(F.struct("draw", label).alias("key"), order.alias("value"), F.lit(1).alias("n"), "draw", score, label)
     taken = cumulated(dealt).filter(F.col("run") <= least).select("draw", score, label)
-    return auc(taken, score, label, ["draw"]).agg(F.avg("auc").alias("balanced_auc"))
+    return auc(taken, score, label, ["draw"]).agg(F.round(F.avg("auc"), 9).alias("balanced_auc"))
 
 
 def churn(feeds: DataFrame) -> DataFrame:

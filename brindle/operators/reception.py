@@ -306,11 +306,8 @@ def combined(kind: str, x: Column, alpha: float = 0.5) -> Column:
 
 
 def keystone_grid(stats: DataFrame, z: float = 1.0) -> DataFrame:
-    """(item, penalty, aggregator, score) for every pair of penalty and aggregator."""
-    out = None
-    for kind in PENALTIES:
-        rows = stats.filter(F.col("n") > 0).withColumn("__x", penalised(kind, z))
-        wide = rows.groupBy("item").agg(*[combined(a, F.col("__x")).alias(a) for a in AGGREGATORS])
-        long = wide.unpivot(["item"], list(AGGREGATORS), "aggregator", "score").withColumn("penalty", F.lit(kind))
-        out = long if out is None else out.unionByName(long)
-    return out
+    """(item, penalty, aggregator, score) for every pair of penalty and aggregator, from one pass over the statistics."""
+    rows = stats.filter(F.col("n") > 0).select("item", *[penalised(k, z).alias(k) for k in PENALTIES])
+    wide = rows.groupBy("item").agg(*[combined(a, F.col(k)).alias(f"{k}|{a}") for k in PENALTIES for a in AGGREGATORS])
+    cells = [F.struct(F.lit(k).alias("penalty"), F.lit(a).alias("aggregator"), F.col(f"{k}|{a}").alias("score")) for k in PENALTIES for a in AGGREGATORS]
+    return wide.select("item", F.explode(F.array(*cells)).alias("c")).select("item", "c.aggregator", "c.score", "c.penalty")

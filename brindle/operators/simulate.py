@@ -28,58 +28,133 @@ def normal(*key: Column | str, seed: int = 0) -> Column:
     return F.sqrt(-2.0 * F.log(uniform(*key, seed=seed * 2 + 1))) * F.cos(F.lit(2 * math.pi) * uniform(*key, seed=seed * 2 + 2))
 
 
-def population(spark: SparkSession, n: int, d: int = 3, gap: float = 1.0, spread: float = 0.25, seed: int = 0) -> DataFrame:
-    """(user_id, pole, opinion ARRAY): two camps on the first axis, noise on all."""
+# Fixed values of the synthetic world.
+#: Reactions: how toxicity draws them and widens the divide, what quality adds, scale of alignment, reactions to nothing special.
+DRAW_OF_TOXICITY, DIVIDE_BY_TOXICITY, BONUS_OF_QUALITY, ALIGNMENT, BASE_REACTION = 1.2, 1.5, 0.4, 0.6, 0.35
+#: Vouches: noise of a reader's view of quality, and where it is vouched for and against.
+VIEW_NOISE, VOUCH_ABOVE, VOUCH_BELOW = 0.15, 0.55, 0.45
+#: Authors: archetype, lean on the first axis, spread of their posts, response to reach, least and most posts, toxicity, quality.
+CAST = (
+    ("universal", 0.0, 0.15, 0.5, 1, 4, 0.05, 0.85),
+    ("partisan_right", 2.0, 0.2, 0.5, 1, 4, 0.2, 0.6),
+    ("partisan_left", -2.0, 0.2, 0.5, 1, 4, 0.2, 0.6),
+    ("firehose", 0.0, 1.5, 3.0, 3, 8, 0.3, 0.35),
+    ("toxic_partisan", 1.6, 0.25, 0.5, 1, 5, 0.9, 0.4),
+    ("bridging_bait", 0.0, 0.15, 0.5, 1, 5, 0.05, 0.1),
+)
+
+
+def population(spark: SparkSession, n: int, d: int = 3, gap: float = 2.0, spread: float = 0.5, indiscriminate: float = 0.2, seed: int = 0) -> DataFrame:
+    """(user_id, pole, opinion ARRAY, reactivity, selectivity): two camps on the first axis, noise on all axes.
+
+    A share of readers is indiscriminate: what they think of a post hardly shows in their reactions.
+    """
     rows = spark.range(n).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("user_id"), (F.col("id") % 2).cast("int").alias("pole"))
     noise = hashed_normal(F.col("user_id"), d, spread, seed)
     side = F.when(F.col("pole") == 0, -gap).otherwise(gap)
-    return rows.withColumn("opinion", F.transform(noise, lambda x, i: x + F.when(i == 0, side).otherwise(0.0)))
+    keen = F.when(uniform("user_id", seed=seed + 51) < indiscriminate, 0.3).otherwise(1.0 + uniform("user_id", seed=seed + 52))
+    return rows.select(
+        "user_id", "pole", F.transform(noise, lambda x, i: x + F.when(i == 0, side).otherwise(0.0)).alias("opinion"),
+        (0.7 + 0.6 * uniform("user_id", seed=seed + 53)).alias("reactivity"), keen.alias("selectivity"),
+    )
 
 
-#: Kinds of authors: position on the first axis, quality, toxicity (fixed values of the synthetic world).
-ARCHETYPES = (("left", -1.0, 0.1, 0.4), ("right", 1.0, 0.1, 0.4), ("bridge", 0.0, 0.6, 0.05), ("bait", 0.0, 0.2, 0.1), ("deep", 0.1, 0.9, 0.0), ("firebrand", 0.9, 0.0, 0.9))
+@dataclass
+class Author:
+    """An author's present style and reach, and the search for more of it: a trial style is kept only if reach did not fall."""
+
+    author_id: str
+    archetype: str
+    style: np.ndarray
+    spread: float
+    response: float
+    least: int
+    most: int
+    toxicity: float
+    quality: float
+    reach: float = 1.0  # per post, in the last window
+    kept: np.ndarray | None = None
+    best: float = -1.0
+
+    def volume(self) -> int:
+        """More posts while each is read, never more than `most`."""
+        return int(min(self.most, max(1, round(self.least + self.response * self.reach))))
+
+    def trial(self, step: float, rng: np.random.Generator) -> None:
+        if step > 0:
+            self.kept = self.style.copy() if self.kept is None else self.kept
+            self.style = self.kept + rng.normal(0.0, step, len(self.style))
+
+    def judge(self, reach: float) -> None:
+        self.reach = reach
+        if self.kept is None:
+            return
+        if reach >= self.best:
+            self.kept, self.best = self.style.copy(), reach
+        else:
+            self.style = self.kept.copy()
+
+
+def cast(n: int = 6, d: int = 3) -> list[Author]:
+    out = []
+    for i in range(n):
+        name, lean, *rest = CAST[i % len(CAST)]
+        out.append(Author(f"a{i}", name, np.r_[lean, np.zeros(d - 1)], *rest))
+    return out
 
 
-def authors(spark: SparkSession, n: int = 6) -> DataFrame:
-    rows = [(f"a{i}", *ARCHETYPES[i % len(ARCHETYPES)]) for i in range(n)]
-    return spark.createDataFrame(rows, "author_id string, archetype string, lean double, quality double, toxicity double")
+def authors(spark: SparkSession, n: int = 6, d: int = 3, of: list[Author] | None = None) -> DataFrame:
+    """(author_id, archetype, style ARRAY, spread, volume, toxicity, quality)."""
+    rows = [(a.author_id, a.archetype, [float(x) for x in a.style], a.spread, a.volume(), a.toxicity, a.quality) for a in of or cast(n, d)]
+    return spark.createDataFrame(rows, "author_id string, archetype string, style array<double>, spread double, volume int, toxicity double, quality double")
 
 
-def posts_of(authors_: DataFrame, per_author: int, window: int, d: int = 3, style: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
-    """(post_id, author_id, created_at, loading ARRAY, quality, toxicity): the truth of a window's posts."""
-    rows = authors_.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_author - 1))))
+def posts_of(authors_: DataFrame, window: int, d: int = 3, seed: int = 0) -> DataFrame:
+    """(post_id, author_id, created_at, loading ARRAY, quality, toxicity, depth): the truth of a window's posts.
+
+    depth is what a reader could see of the quality.
+    """
+    rows = authors_.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("volume") - 1)))
     rows = rows.withColumn("post_id", F.concat_ws("-", "author_id", F.lit(str(window)), F.col("k").cast("string")))
-    shift = F.lit(0.0)
-    for a, s in (style or {}).items():
-        shift = F.when(F.col("author_id") == a, F.lit(float(s))).otherwise(shift)
-    noise = hashed_normal(F.col("post_id"), d, 0.1, seed)
-    loading = F.transform(noise, lambda x, i: x + F.when(i == 0, F.col("lean") * (1.0 + shift)).otherwise(0.0))
-    return rows.select("post_id", "author_id", (F.lit(float(window)) + F.col("k") / 100.0).alias("created_at"), loading.alias("loading"), "quality", "toxicity")
+    loading = F.zip_with("style", hashed_normal(F.col("post_id"), d, 1.0, seed), lambda s, x: s + x * F.col("spread"))
+
+    def near(x: Column, sd: float, salt: int) -> Column:
+        return F.least(F.greatest(x + F.lit(sd) * normal("post_id", seed=seed + salt), F.lit(0.0)), F.lit(1.0))
+
+    out = rows.select("post_id", "author_id", (F.lit(float(window)) + F.col("k") / 100.0).alias("created_at"), loading.alias("loading"),
+                      near(F.col("quality"), 0.15, 61).alias("quality"), near(F.col("toxicity"), 0.1, 62).alias("toxicity"))
+    return out.withColumn("depth", near(F.col("quality"), 0.2, 63))
+
+
+def _aligned() -> Column:
+    return F.lit(ALIGNMENT) * dot(F.col("opinion"), F.col("loading"))
 
 
-def approval(pull: float = 1.5) -> Column:
-    """Probability that a reader approves: quality and alignment of opinion with the post."""
-    logit = F.lit(2.0) * (F.col("quality") - 0.3) + F.lit(pull) * dot(F.col("opinion"), F.col("loading"))
+def approval() -> Column:
+    """Probability that a reader who reacts approves: alignment, sharpened by selectivity and toxicity, and a little quality."""
+    logit = F.col("selectivity") * _aligned() * (1.0 + F.lit(DIVIDE_BY_TOXICITY) * F.col("toxicity")) + F.lit(BONUS_OF_QUALITY) * (F.col("quality") - 0.5)
     return 1.0 / (1.0 + F.exp(-logit))
 
 
 def reaction_pull() -> Column:
-    """How strongly a post moves a reader to react at all: alignment either way, and toxicity."""
-    return F.least(F.lit(0.95), 0.3 + 0.3 * F.abs(dot(F.col("opinion"), F.col("loading"))) + 0.3 * F.col("toxicity"))
+    """Probability that a reader reacts at all: toxicity above all."""
+    pull = F.col("reactivity") * (F.lit(BASE_REACTION) + F.lit(DRAW_OF_TOXICITY) * F.col("toxicity") + 0.1 * F.abs(_aligned()))
+    return F.least(F.greatest(pull, F.lit(0.0)), F.lit(1.0))
 
 
 def react(shown: DataFrame, seed: int = 0) -> DataFrame:
-    """Reactions (user_id, post_id, value, kind) to shown posts with their truth; silence is an exposure without reaction."""
-    acts, likes = uniform("user_id", "post_id", seed=seed + 11) < reaction_pull(), uniform("user_id", "post_id", seed=seed + 12) < approval()
-    strong = uniform("user_id", "post_id", seed=seed + 13) < 0.3
-    kind = F.when(~acts, "exposed_no_reaction").when(likes & strong, "boost").when(likes, "favorite").otherwise("mute")
+    """Reactions (user_id, post_id, value, kind) to shown posts with their truth; no reaction is a weak one against."""
+    acts, likes, p = uniform("user_id", "post_id", seed=seed + 11) < reaction_pull(), uniform("user_id", "post_id", seed=seed + 12) < F.col("__p"), F.col("__p")
+    kind = F.when(acts & likes & (p > 0.7), "boost").when(acts & likes, "favorite").when(acts & (p < 0.3), "mute").otherwise("exposed_no_reaction")
     value = F.when(kind == "boost", 1.0).when(kind == "favorite", 0.5).when(kind == "mute", -1.0).otherwise(-0.1)
-    return shown.select("user_id", "post_id", value.alias("value"), kind.alias("kind"))
+    return shown.withColumn("__p", approval()).select("user_id", "post_id", value.alias("value"), kind.alias("kind"))
 
 
-def vouch(shown: DataFrame, rate: float = 0.2, seed: int = 0) -> DataFrame:
-    given = uniform("user_id", "post_id", seed=seed + 21) < F.lit(rate) * F.col("quality")
-    return shown.filter(given).select("user_id", "post_id", F.lit(1.0).alias("value"), F.lit("vouch").alias("kind"))
+def vouch(shown: DataFrame, seed: int = 0) -> DataFrame:
+    """Vouches for and against by each reader's view of the quality, whatever the opinion; unclear ones give none."""
+    view = F.col("quality") + F.lit(VIEW_NOISE) * normal("user_id", "post_id", seed=seed + 21)
+    value = F.when(view > VOUCH_ABOVE, 1.0).when(view < VOUCH_BELOW, -1.0)
+    return shown.select("user_id", "post_id", value.alias("value"), F.lit("vouch").alias("kind")).filter(F.col("value").isNotNull())
 
 
 def welfare(shown: DataFrame) -> DataFrame:
@@ -91,56 +166,81 @@ def welfare(shown: DataFrame) -> DataFrame:
     )
 
 
-def adapt(style: dict[str, float], reach: dict[str, float], best: dict[str, tuple[float, float]], step: float = 0.1, seed: int = 0) -> dict[str, float]:
-    """One step of each author's search for reach: keep the better of the last style and the present one, then mutate."""
-    out = {}
-    for i, a in enumerate(sorted(style)):
-        if a not in best or reach.get(a, 0.0) >= best[a][1]:
-            best[a] = (style[a], reach.get(a, 0.0))
-        rng = np.random.default_rng([seed, i, len(best)])
-        out[a] = best[a][0] + float(rng.normal(0.0, step))
-    return out
-
-
 # ---------------------------------------------------------------------------------------------
 # biased logs
 
 
-def biased_log(spark: SparkSession, n_users: int, n_posts: int, epsilon: float = 0.15, universal: float = 0.3, seed: int = 0) -> DataFrame:
-    """(user_id, post_id, value, propensity, source): a world where agreeable pairs are shown more often.
+def mnar_world(spark: SparkSession, n_users: int = 60, n_posts: int = 40, universal: float = 0.3, noise: float = 0.15, seed: int = 0) -> DataFrame:
+    """(user_id, post_id, value, align, intercept, universal): the full matrix of a world of two camps.
 
-    A share of posts is universally good. Every pair is shown with probability epsilon (exploration), else by a policy
-    that favours alignment; the probability of being shown is logged.
+    A share of the posts is universal: near the origin and well received; the others belong to a camp. The value of a
+    pair is the post's intercept and the alignment of the two, with noise, within [-1, 1].
     """
-    users = population(spark, n_users, seed=seed).select("user_id", "opinion")
-    posts = spark.range(n_posts).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("post_id"))
-    good = uniform("post_id", seed=seed + 1) < universal
-    side = F.when(uniform("post_id", seed=seed + 2) < 0.5, -1.0).otherwise(1.0)
-    posts = posts.select("post_id", F.when(good, 0.8).otherwise(0.1).alias("quality"), F.array(F.when(good, 0.0).otherwise(side), F.lit(0.0), F.lit(0.0)).alias("loading"))
+    users = population(spark, n_users, 2, 1.5, 0.3, seed=seed).select("user_id", "opinion")
+    good = F.col("id") < int(universal * n_posts)
+    posts = spark.range(n_posts).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("post_id"), good.alias("universal"))
+    wide = F.when(F.col("universal"), 0.1).otherwise(0.15)
+    first = F.when(F.col("universal"), 0.1 * normal("post_id", seed=seed + 1)).otherwise((1.0 + 0.6 * uniform("post_id", seed=seed + 2)) * F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0))
+    level = uniform("post_id", seed=seed + 3)
+    posts = posts.select("post_id", "universal", F.array(first, wide * normal("post_id", seed=seed + 4)).alias("loading"), F.when(F.col("universal"), 0.3 + 0.3 * level).otherwise(0.2 * level - 0.1).alias("intercept"))
     pairs = users.crossJoin(posts)  # the world itself: every pair has a truth, of which few are shown
-    score = dot(F.col("opinion"), F.col("loading"))
-    policy = 1.0 / (1.0 + F.exp(-3.0 * (score - 0.5)))
-    pi = F.lit(epsilon) + F.lit(1.0 - epsilon) * policy * 0.5
-    explored = uniform("user_id", "post_id", seed=seed + 3) < F.lit(epsilon) / pi
-    value = F.tanh(F.col("quality") + score + 0.1 * normal("user_id", "post_id", seed=seed + 4))
-    shown = pairs.filter(uniform("user_id", "post_id", seed=seed + 5) < pi)
-    return shown.select("user_id", "post_id", value.alias("value"), pi.alias("propensity"), F.when(explored, "exploration").otherwise("organic").alias("source"), "quality")
+    align = dot(F.col("opinion"), F.col("loading"))
+    value = F.col("intercept") + align + F.lit(noise) * normal("user_id", "post_id", seed=seed + 5)
+    return pairs.select("user_id", "post_id", F.least(F.greatest(value, F.lit(-1.0)), F.lit(1.0)).alias("value"), align.alias("align"), "intercept", "universal")
+
+
+def biased_log(world: DataFrame, epsilon: float = 0.05, rate: float = 0.3, bias: float = 4.0, seed: int = 0) -> DataFrame:
+    """world's pairs that were shown + propensity, source: aligned pairs are shown more often, on average `rate` of all,
+    and a share epsilon at random, with a known propensity."""
+    organic = 1.0 / (1.0 + F.exp(-F.lit(bias) * F.col("align")))
+    scaled = F.least(organic * F.lit(rate) / world.agg(F.avg(organic).alias("m")).scalar(), F.lit(0.98))
+    explored = uniform("user_id", "post_id", seed=seed + 71) < epsilon
+    source = F.when(explored, "exploration").when(uniform("user_id", "post_id", seed=seed + 72) < F.col("__pi"), "organic")
+    rows = world.withColumn("__pi", scaled).withColumn("source", source).filter(F.col("source").isNotNull())
+    return rows.withColumn("propensity", F.when(F.col("source") == "exploration", F.lit(float(epsilon))).otherwise(F.col("__pi"))).drop("__pi")
+
+
+def mnar_experiment(spark: SparkSession, n_users: int = 60, n_posts: int = 40, epsilon: float = 0.05, sweeps: int = 40, seed: int = 0) -> DataFrame:
+    """(corrected, ranking, partisan_bias, partisan_norm): a factorization of a biased log with and without inverse
+    propensities: rank correlation of the posts' biases with their intercepts, and bias and length of the camps' posts."""
+    from brindle.operators.factorization import fit
+    from brindle.operators.metrics import spearman
+    from brindle.operators.propensity import ipw_weights, logged
+
+    world = cut(mnar_world(spark, n_users, n_posts, seed=seed))
+    log = cut(biased_log(world, epsilon, seed=seed).withColumn("author_id", F.concat(F.lit("of "), "post_id")))
+    truth = world.select("post_id", "intercept", "universal").distinct()
+    s, out = Settings(d=2, mf_iterations=sweeps, reg_post=0.05, local_rows=1_000_000), None
+    for corrected, rows in ((False, log.withColumn("weight", F.lit(1.0))), (True, ipw_weights(log, logged(1e-6), s.w_max))):
+        model = fit(rows, s, seed, local_rows=s.local_rows)
+        got = cut(truth.join(model.posts, "post_id", "left").select("universal", F.round(F.coalesce("b_p", F.lit(0.0)), 9).alias("b"), F.round("intercept", 9).alias("intercept"), F.sqrt(F.coalesce(dot(F.col("y"), F.col("y")), F.lit(0.0))).alias("norm")))
+        ranking = spearman(got, "b", "intercept").first()[0]
+        bias, norm = got.filter(~F.col("universal")).agg(F.avg("b"), F.avg("norm")).first()
+        row = spark.createDataFrame([(corrected, ranking, bias, norm)], "corrected boolean, ranking double, partisan_bias double, partisan_norm double")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def induce_mnar(reactions: DataFrame, epsilon: float = 0.1, strength: float = 2.0, seed: int = 0) -> DataFrame:
     """reactions + split (`test`, `anchor`, `train`), propensity: a log thinned towards high values, with an unbiased
     anchor slice of share epsilon and a held-out fifth; rows not drawn are left out."""
     pi = F.lit(epsilon) + F.lit(1.0 - epsilon) / (1.0 + F.exp(-F.lit(strength) * F.col("value")))
-    u, v = uniform("user_id", "post_id", seed=seed + 31), uniform("user_id", "post_id", seed=seed + 32)
+
+    def draw(salt: int) -> Column:
+        """By md5, which other engines have too: 52 bits."""
+        return F.conv(F.substring(F.md5(F.concat_ws("|", "user_id", "post_id", F.lit(str(seed + salt)))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+    u, v = draw(31), draw(32)
     split = F.when(u < 0.2, "test").when(v < epsilon, "anchor").when(v < pi, "train")
     return reactions.withColumn("propensity", pi).withColumn("split", split).filter(F.col("split").isNotNull())
 
 
-def polarity_axis(cells: DataFrame, rounds: int = 10) -> DataFrame:
-    """(user_id, polarity): leading left singular vector of the user by item matrix, centred by item."""
-    from brindle.operators.geometry import singular_coordinates
+def polarity_axis(reactions: DataFrame, rounds: int = 30) -> DataFrame:
+    """(user_id, polarity): leading left singular vector of the user by item matrix of mean values, where what is missing
+    stands at its item's mean and users' and items' means are taken off; the filled matrix is never made."""
+    from brindle.operators.geometry import centred_cells, singular_coordinates
 
-    points, _ = singular_coordinates(cells, 1, rounds=rounds)
+    points, _ = singular_coordinates(centred_cells(reactions), 1, rounds=rounds, centre=True)
     return points.select("user_id", F.col("c0").alias("polarity"))
 
 
@@ -168,11 +268,10 @@ class Result:
 class World:
     users: int = 40
     authors: int = 6
-    per_author: int = 2
     slots: int = 6
     windows: int = 4
     epsilon: float = 0.1
-    adaptive: bool = False
+    performativity: float = 0.0  # how hard authors change their style in search of reach
     seed: int = 0
     live_windows: int = 3  # windows for which a post stays a candidate
     ring: int = 0  # puppets who boost the posts of one author
@@ -194,7 +293,7 @@ def explored(candidates: DataFrame, feed: DataFrame, share: float, seed: int = 0
 def ring_attack(spark: SparkSession, posts: DataFrame, w: World, window: int) -> tuple[DataFrame, DataFrame]:
     """(reactions, exposures) of a ring of puppets: boosts of the target's posts, which nobody served them (out of band),
     and genuine-looking ratings of other posts as camouflage."""
-    puppets = population(spark, w.ring, seed=w.seed + 99).select(F.concat(F.lit("z"), "user_id").alias("user_id"), "pole", "opinion")
+    puppets = population(spark, w.ring, seed=w.seed + 99).select(F.concat(F.lit("z"), "user_id").alias("user_id"), "pole", "opinion", "reactivity", "selectivity")
     pairs = puppets.crossJoin(posts.select("post_id", "author_id", "loading", "quality", "toxicity"))  # a ring of given size on few posts
     boosts = pairs.filter(F.col("author_id") == w.ring_target).select("user_id", "post_id", F.lit(1.0).alias("value"), F.lit("boost").alias("kind"))
     rows = boosts
@@ -215,10 +314,13 @@ def run(spark: SparkSession, ranker, world: World = World()) -> Result:
     ranker: object with rank(candidates, posts) -> (user_id, slot, post_id) and observe(reactions, posts, exposures).
     """
     people = cut(population(spark, world.users, seed=world.seed))
-    writers, out = authors(spark, world.authors), Result()
-    style, best, before, alive = {f"a{i}": 0.0 for i in range(world.authors)}, {}, None, []
+    writers, out = cast(world.authors), Result()
+    rng = np.random.default_rng(world.seed)
+    before, alive = None, []
     for t in range(world.windows):
-        fresh = cut(posts_of(writers, world.per_author, t, style=style if world.adaptive else None, seed=world.seed))
+        for a in writers:
+            a.trial(1.2 * world.performativity, rng)
+        fresh = cut(posts_of(authors(spark, of=writers), t, seed=world.seed))
         alive = [fresh, *alive][: world.live_windows]
         posts = reduce(DataFrame.unionByName, alive)
         audience = people.crossJoin(posts)  # every agent may see each of the few live posts
@@ -243,9 +345,11 @@ def run(spark: SparkSession, ranker, world: World = World()) -> Result:
             moved = churn(two).agg(F.avg("churn")).first()[0]
         out.windows.append({"window": t, "impressions": n, "true_value": value[0], "divisiveness": value[1], "toxicity": toxicity, "satisfaction": satisfied, "churn": moved, "target_reach": target})
         ranker.observe(reactions, posts, exposures)
-        if world.adaptive:
-            reach = {r["author_id"]: float(r["n"]) for r in truth.groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-            style = adapt(style, reach, best, seed=world.seed + t)
+        reach = {r["author_id"]: float(r["n"]) for r in truth.groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = {r["author_id"]: r["n"] for r in fresh.groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+        out.windows[-1]["reach"] = {a.archetype: reach.get(a.author_id, 0.0) / max(1, sizes.get(a.author_id, 1)) for a in writers}
+        for a in writers:
+            a.judge(reach.get(a.author_id, 0.0) / max(1, sizes.get(a.author_id, 1)))
         before = feed
     return out
 
@@ -300,12 +404,19 @@ class RandomRanker(ChronologicalRanker):
 
 
 class OracleRanker(ChronologicalRanker):
-    """Knows the truth: quality first."""
+    """Knows the truth: the posts of the greatest true value to the population, given as `people`."""
+
+    def __init__(self, slots: int = 6, people: DataFrame | None = None):
+        super().__init__(slots)
+        self.people = people
 
     def rank(self, candidates: DataFrame, posts: DataFrame) -> DataFrame:
         from brindle.operators.feed import by_score
 
-        return by_score(candidates.join(posts.select("post_id", "quality"), "post_id"), F.col("quality"), self.slots)
+        if self.people is None:
+            return by_score(candidates.join(posts.select("post_id", "quality"), "post_id"), F.col("quality"), self.slots)
+        value = welfare(self.people.crossJoin(posts)).select("post_id", "true_value")  # every agent's truth of the few live posts
+        return by_score(candidates.join(value, "post_id"), F.col("true_value"), self.slots)
 
 
 class EngagementRanker(ChronologicalRanker):
@@ -329,4 +440,4 @@ class EngagementRanker(ChronologicalRanker):
 
         seen = reactions.filter("kind <> 'vouch'").join(posts.select("post_id", "author_id"), "post_id")
         if seen.limit(1).count():
-            self.model = fit(seen.select("user_id", F.col("author_id").alias("post_id"), "author_id", "value", F.lit(1.0).alias("weight")), self.s)
+            self.model = fit(seen.select("user_id", F.col("author_id").alias("post_id"), "author_id", "value", F.lit(1.0).alias("weight")), self.s, local_rows=1_000_000)

@@ -1,9 +1,10 @@
 """Mixed timestamp formats and zones to one unambiguous form: microseconds since 1970 UTC.
 
 Shape masks pick a parser once per distinct shape, wall clocks go through versioned zone transition
-tables (see `brindle.functions.instants`). Defined cases: null, empty, blank, over-long (80 bytes and
-more), non-ASCII or impossible texts name no instant and give NULL; numbers that are null, NaN,
-infinite, zero or negative give NULL; extra columns of any name pass through; empty tables stay empty.
+tables (see `brindle.functions.instants`). Defined cases: null, empty, blank or impossible texts name no instant and
+give NULL, as do digits and letters beyond ASCII; a zone's name in brackets behind an offset is skipped, whatever it
+holds; years 1 to 9999 are read, in the zone rules of their time; numbers that are null, NaN, infinite, zero or
+negative give NULL; extra columns of any name pass through; empty tables stay empty.
 """
 
 from __future__ import annotations

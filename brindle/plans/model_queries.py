@@ -59,6 +59,18 @@ def mf_als_d(spark: SparkSession, d: str) -> DataFrame:
     return m.posts.select("post_id", "b_p", "y")
 
 
+def mf_als_d2(spark: SparkSession, d: str) -> DataFrame:
+    """Two sweeps in two dimensions from closed-form vectors."""
+    b = Raters(spark, d)
+
+    def x(key: str):
+        return F.array(*[((F.ascii(F.substring(key, -k, 1)) * 7919) % 101 - 50).cast("double") / 500.0 for k in (1, 2)])
+
+    users, posts = b.reactions.select("user_id").distinct().select("user_id", x("user_id").alias("x")), b.reacted_posts.select("post_id").select("post_id", x("post_id").alias("y"))
+    m = factorization.fit(b.reactions.withColumn("weight", F.lit(1.0)), replace(S, d=2), users=users, posts=posts, sweeps=2, tolerance=-1.0)
+    return m.posts.select("post_id", r6("b_p").alias("b_p"), *[F.round(F.get("y", F.lit(k)), 5) .alias(f"y{k}") for k in (0, 1)])
+
+
 def _vectors(b: Raters) -> DataFrame:
     """Two-dimensional closed-form vectors of posts."""
     one = F.ascii(F.substring("post_id", -1, 1)) % 7 - 3
@@ -133,7 +145,8 @@ def blended_value(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_chronological(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidates(Raters(spark, d)).withColumn("created_at", F.when(F.isnan("created_at"), F.lit(None)).otherwise(F.col("created_at")))
+    """Newest first, whatever the unit of the posts' stamps; unknown ones last."""
+    rows = _candidates(Raters(spark, d)).withColumn("created_at", instants.double_us(F.col("created_at")))
     return feed.chronological(rows, 5)
 
 
@@ -182,16 +195,6 @@ def derived_negatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def served_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """As its SQL has it, of posts stamped in seconds only; `served_candidates_any_unit` takes all posts.
-
-    Those of the last six hours before the newest one, newest first, at most 4000.
-    """
-    rows = Raters(spark, d).posts.filter("created_at > 0 and created_at < 1e11 and not isnan(created_at)")
-    newest = rows.agg(F.max("created_at").alias("t")).scalar()
-    return rows.filter(F.col("created_at") >= newest - 6 * 3600.0).orderBy(F.desc("created_at"), "post_id").limit(4000).select("post_id", "author_id", "created_at")
-
-
-def served_candidates_any_unit(spark: SparkSession, d: str) -> DataFrame:
     """Posts of the last six hours before the newest one, whatever the unit of their stamps, newest first, at most 4000."""
     rows = Raters(spark, d).posts.withColumn("us", instants.double_us(F.col("created_at"))).filter("us is not null")
     newest = rows.agg(F.max("us").alias("t")).scalar()
@@ -250,7 +253,8 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_average(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.average_ranks(Raters(spark, d).posts.filter("created_at > 0 and not isnan(created_at)"), "created_at", "rank").select("post_id", "rank")
+    """Rank of the known stamps of posts, whatever their unit."""
+    return metrics.average_ranks(Raters(spark, d).posts.withColumn("us", instants.double_us(F.col("created_at"))), "us", "rank").select("post_id", "rank")
 
 
 def ari(spark: SparkSession, d: str) -> DataFrame:
@@ -280,30 +284,35 @@ def simulate_population(spark: SparkSession, d: str) -> DataFrame:
 
 
 def simulate_reactions(spark: SparkSession, d: str) -> DataFrame:
-    posts = simulate.posts_of(simulate.authors(spark), 2, 0)
+    posts = simulate.posts_of(simulate.authors(spark), 0)
     return simulate.react(simulate.population(spark, 40).crossJoin(posts))
 
 
 def welfare(spark: SparkSession, d: str) -> DataFrame:
-    posts = simulate.posts_of(simulate.authors(spark), 2, 0)
+    posts = simulate.posts_of(simulate.authors(spark), 0)
     return simulate.welfare(simulate.population(spark, 40).crossJoin(posts))
 
 
 def mnar_log(spark: SparkSession, d: str) -> DataFrame:
-    return simulate.biased_log(spark, 60, 40)
+    return simulate.biased_log(simulate.mnar_world(spark, 60, 40), 0.15)
+
+
+def mnar_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """A factorization of a biased log, without and with inverse propensities."""
+    return simulate.mnar_experiment(spark, epsilon=0.15)
 
 
 def induced_mnar(spark: SparkSession, d: str) -> DataFrame:
-    return simulate.induce_mnar(Raters(spark, d).reactions).select("ordinal", "split", "propensity")
+    return simulate.induce_mnar(Raters(spark, d).reactions).select("ordinal", "split", r6("propensity").alias("propensity"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        mf_als_d1, mf_bias_only, mf_predict, mf_als_d, divisiveness_identity, whiten_moments, cluster_centroids, spectral_clusters, kmeans_clusters,
+        mf_als_d1, mf_als_d2, mf_bias_only, mf_predict, mf_als_d, divisiveness_identity, whiten_moments, cluster_centroids, spectral_clusters, kmeans_clusters,
         value_by_user, depth_gate, blended_value, rank_chronological, rank_engagement, feed_greedy, feed_interleaved, fitted_window, derived_negatives,
-        served_candidates, served_candidates_any_unit, window_tumbling, window_session, feed_churn, auc, balanced_auc, ndcg_at_5, spearman, rank_average, ari, embedding_recovery,
-        kcore, dense_slice, simulate_population, simulate_reactions, welfare, mnar_log, induced_mnar,
+        served_candidates, window_tumbling, window_session, feed_churn, auc, balanced_auc, ndcg_at_5, spearman, rank_average, ari, embedding_recovery,
+        kcore, dense_slice, simulate_population, simulate_reactions, welfare, mnar_log, mnar_experiment, induced_mnar,
     )
 }
 
@@ -330,12 +339,67 @@ def _als(sweeps: int, vectors: bool) -> str:
     return out + f", ob AS (SELECT * FROM o{n})"
 
 
+def _als2(sweeps: int) -> str:
+    """The same in two dimensions, with the normal equations solved in closed form."""
+    x0 = "CAST((ascii(left(right({k}, {i}), 1)) * 7919) % 101 - 50 AS DOUBLE) / 500.0 AS {n}"
+    start = ", ".join(x0.format(k=k, i=i, n=f"{n}{i}") for k, n in (("user_id", "x"), ("post_id", "y")) for i in (1, 2))
+    out, n = PRE + f", o0 AS MATERIALIZED (SELECT user_id, post_id, author_id, val AS r, 0.0 AS bu, 0.0 AS ba, 0.0 AS bp, {start}, 0.0 AS mu FROM r)", 0
+    xy = "(x1 * y1 + x2 * y2)"
+
+    def solved(own: str, other: str, key: str) -> str:
+        def total(e: str) -> str:
+            return f"sum({e}) OVER (PARTITION BY {key})"
+
+        p, q, c = f"({total(f'{other}1 * {other}1')} + 0.05)", f"({total(f'{other}2 * {other}2')} + 0.05)", total(f"{other}1 * {other}2")
+        t1, t2 = (total(f"{other}{i} * (r - mu - bu - ba - bp)") for i in (1, 2))
+        return f"({t1} * {q} - {t2} * {c}) / ({p} * {q} - {c} * {c}) AS {own}1, ({t2} * {p} - {t1} * {c}) / ({p} * {q} - {c} * {c}) AS {own}2"
+
+    steps = [
+        f"avg(r - bu - ba - bp - {xy}) OVER () AS mu",
+        f"sum(r - mu - ba - bp - {xy}) OVER (PARTITION BY user_id) / (count(*) OVER (PARTITION BY user_id) + 0.1) AS bu",
+        f"sum(r - mu - bu - bp - {xy}) OVER (PARTITION BY author_id) / (count(*) OVER (PARTITION BY author_id) + 0.05) AS ba",
+        f"sum(r - mu - bu - ba - {xy}) OVER (PARTITION BY post_id) / (count(*) OVER (PARTITION BY post_id) + 0.1) AS bp",
+        solved("x", "y", "user_id"),
+        solved("y", "x", "post_id"),
+    ]
+    for change in steps * sweeps:
+        n += 1
+        out += f", o{n} AS MATERIALIZED (SELECT * REPLACE ({change}) FROM o{n - 1})"
+    return out + f" SELECT DISTINCT post_id, round(bp, 6) + 0.0 AS b_p, round(y1, 5) AS y0, round(y2, 5) AS y1 FROM o{n}"
+
+
+def _kcore(least: int, rounds: int = 60) -> str:
+    """Unrolled rounds, more than a core of this size takes to settle."""
+    out = "WITH e0 AS MATERIALIZED (SELECT DISTINCT noteId, lower(trim(raterId)) AS rater FROM ratings)"
+    for i in range(1, rounds + 1):
+        out += f""", a{i} AS MATERIALIZED (SELECT * FROM e{i - 1} WHERE noteId IN (SELECT noteId FROM e{i - 1} GROUP BY 1 HAVING count(*) >= {least})),
+          e{i} AS MATERIALIZED (SELECT * FROM a{i} WHERE rater IN (SELECT rater FROM a{i} GROUP BY 1 HAVING count(*) >= {least}))"""
+    return out + f" SELECT noteId, rater FROM e{rounds}"
+
+
+#: s: posts with a known stamp, in microseconds whatever its unit.
+_STAMPED = """u AS (SELECT *, CASE WHEN created_at < 1e11 THEN 1000000.0 WHEN created_at < 1e14 THEN 1000.0 WHEN created_at < 1e17 THEN 1.0 ELSE 0.001 END AS f
+          FROM posts WHERE created_at > 0 AND created_at < 9e18 AND NOT isnan(created_at)),
+        s AS (SELECT *, CASE WHEN f < 1 THEN CAST(floor(created_at / 1000.0 + 0.5) AS BIGINT)
+          ELSE CAST(floor(created_at) AS BIGINT) * CAST(f AS BIGINT) + CAST(floor((created_at - floor(created_at)) * f + 0.5) AS BIGINT) END AS us FROM u)"""
 _CAND = PRE + """, ca AS (SELECT e.user_id, e.post_id, e.ordinal AS pos, p.author_id, p.created_at, p.features, k.x, CAST(ascii(right(e.post_id, 1)) % 7 - 3 AS DOUBLE) AS y, sc.b_lcb
      FROM e JOIN k USING (user_id) JOIN posts p ON p.post_id = e.post_id LEFT JOIN sc ON sc.post_id = e.post_id)
 """
 _JUDGED = PRE + ", ju AS (SELECT r.*, round(b_lcb, 9) AS score FROM r JOIN sc USING (post_id))"
 
+_MD5 = "('0x' || substr(md5(concat_ws('|', user_id, post_id, '{}')), 1, 13))::BIGINT / 4503599627370496.0"
 SQL = {
+    "mf_als_d2": _als2(2),
+    "kcore": _kcore(8),
+    "balanced_auc": _JUDGED + """, sz AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM ju GROUP BY val > 0)),
+        dr AS (SELECT score, val > 0 AS pos, draw FROM ju, range(25) d(draw)
+               QUALIFY row_number() OVER (PARTITION BY draw, val > 0 ORDER BY md5(concat_ws('|', ordinal, draw, 0)), ordinal) <= (SELECT n FROM sz)),
+        rk AS (SELECT draw, pos, rank() OVER (PARTITION BY draw ORDER BY score) + (count(*) OVER (PARTITION BY draw, score) - 1) / 2.0 AS rk FROM dr),
+        au AS (SELECT (sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)) AS a FROM rk GROUP BY draw)
+        SELECT round(avg(a), 9) AS balanced_auc FROM au""",
+    "induced_mnar": PRE + f""", dw AS (SELECT ordinal, 0.1 + 0.9 / (1.0 + exp(-2.0 * val)) AS pi, {_MD5.format(31)} AS a, {_MD5.format(32)} AS b FROM r),
+        sp AS (SELECT ordinal, CASE WHEN a < 0.2 THEN 'test' WHEN b < 0.1 THEN 'anchor' WHEN b < pi THEN 'train' END AS split, round(pi, 6) + 0.0 AS propensity FROM dw)
+        SELECT * FROM sp WHERE split IS NOT NULL""",
     "mf_als_d1": _als(2, True) + " SELECT DISTINCT post_id, round(bp, 6) + 0.0 AS b_p, round(yy, 6) + 0.0 AS y FROM ob",
     "mf_bias_only": _als(2, False) + " SELECT DISTINCT user_id, round(bu, 6) + 0.0 AS b_u FROM ob",
     "mf_predict": _als(2, True) + """, pu AS (SELECT user_id, any_value(bu) AS bu, any_value(xx) AS xx FROM ob GROUP BY 1), pp AS (SELECT post_id, any_value(bp) AS bp, any_value(yy) AS yy FROM ob GROUP BY 1),
@@ -350,19 +414,13 @@ SQL = {
     "depth_gate": _CAND + """, de AS (SELECT *, least(coalesce(features['chars'], 0.0) / 300.0, 1.0) AS depth, coalesce(b_lcb, 0.0) AS b FROM ca)
         SELECT user_id, post_id, round(CASE WHEN b > 0 THEN b * (1.0 - 0.75 * (1.0 - depth)) ELSE b END + 0.3 * x * y / 9.0 - 0.7 * y * y / 9.0 + 0.2 * (depth - 0.5), 6) + 0.0 AS value FROM de""",
     "blended_value": _CAND + "SELECT user_id, post_id, round(0.5 * (coalesce(b_lcb, 0.0) + 0.3 * x * y / 9.0 - 0.7 * y * y / 9.0) + 0.25 * CAST(pos % 10 AS DOUBLE) / 10.0, 6) + 0.0 AS value FROM ca",
-    "rank_chronological": _CAND + """, rk AS (SELECT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN isnan(created_at) THEN NULL ELSE created_at END DESC NULLS LAST, post_id) - 1 AS slot FROM ca)
+    "rank_chronological": _CAND + ", " + _STAMPED + """, rk AS (SELECT user_id, ca.post_id, row_number() OVER (PARTITION BY user_id ORDER BY us DESC NULLS LAST, ca.post_id) - 1 AS slot FROM ca LEFT JOIN s ON s.post_id = ca.post_id)
         SELECT user_id, slot, post_id FROM rk WHERE slot < 5""",
     "rank_engagement": _CAND + """, rk AS (SELECT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY round(x * y / 9.0, 9) DESC, post_id) - 1 AS slot FROM ca)
         SELECT user_id, slot, post_id FROM rk WHERE slot < 5""",
     "derived_negatives": PRE + """ SELECT DISTINCT user_id, post_id, CAST(-0.1 AS DOUBLE) AS value FROM exposures WHERE post_id IN (SELECT post_id FROM posts)
         AND (user_id, post_id) NOT IN (SELECT (user_id, post_id) FROM r WHERE val > 0)""",
-    "served_candidates": """WITH s AS (SELECT * FROM posts WHERE created_at > 0 AND created_at < 1e11 AND NOT isnan(created_at))
-        SELECT post_id, author_id, created_at FROM s WHERE created_at >= (SELECT max(created_at) FROM s) - 21600 ORDER BY created_at DESC, post_id LIMIT 4000""",
-    "served_candidates_any_unit": """WITH u AS (SELECT *, CASE WHEN created_at < 1e11 THEN 1000000.0 WHEN created_at < 1e14 THEN 1000.0 WHEN created_at < 1e17 THEN 1.0 ELSE 0.001 END AS f
-          FROM posts WHERE created_at > 0 AND created_at < 9e18 AND NOT isnan(created_at)),
-        s AS (SELECT *, CASE WHEN f < 1 THEN CAST(floor(created_at / 1000.0 + 0.5) AS BIGINT)
-          ELSE CAST(floor(created_at) AS BIGINT) * CAST(f AS BIGINT) + CAST(floor((created_at - floor(created_at)) * f + 0.5) AS BIGINT) END AS us FROM u)
-        SELECT post_id, author_id, us / 1000000.0::DOUBLE AS created_at FROM s WHERE us >= (SELECT max(us) FROM s) - 21600000000 ORDER BY us DESC, post_id LIMIT 4000""",
+    "served_candidates": "WITH " + _STAMPED + """ SELECT post_id, author_id, us / 1000000.0::DOUBLE AS created_at FROM s WHERE us >= (SELECT max(us) FROM s) - 21600000000 ORDER BY us DESC, post_id LIMIT 4000""",
     "window_tumbling": PRE + " SELECT CAST(floor(ts / 900.0) AS BIGINT) * 900 AS window_start, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(val), 6) + 0.0 AS total FROM r WHERE ts > 0 GROUP BY 1",
     "window_session": PRE + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, ordinal) <= 1800.0 THEN 0 ELSE 1 END AS nw FROM r WHERE ts > 0),
         ss AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY ts, ordinal) AS BIGINT) AS session FROM g)
@@ -379,7 +437,7 @@ SQL = {
     "spearman": PRE + """, s AS (SELECT post_id, round(avg(val), 9) AS m, any_value(round(b_lcb, 9)) AS score FROM r JOIN sc USING (post_id) GROUP BY 1),
         rk AS (SELECT rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0 AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS b FROM s)
         SELECT round(corr(a, b), 6) + 0.0 AS spearman FROM rk""",
-    "rank_average": """SELECT post_id, rank() OVER (ORDER BY created_at) + (count(*) OVER (PARTITION BY created_at) - 1) / CAST(2.0 AS DOUBLE) AS rank FROM posts WHERE created_at > 0 AND NOT isnan(created_at)""",
+    "rank_average": "WITH " + _STAMPED + " SELECT post_id, rank() OVER (ORDER BY us) + (count(*) OVER (PARTITION BY us) - 1) / CAST(2.0 AS DOUBLE) AS rank FROM s",
     "ari": PRE + """, ce AS (SELECT cluster, x > 0 AS side, count(*) AS n FROM k GROUP BY 1, 2),
         su AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM ce) AS c, (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) AS n FROM ce GROUP BY cluster)) AS pa,
                       (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) AS n FROM ce GROUP BY side)) AS pb, (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM ce) AS t)

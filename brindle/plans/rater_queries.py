@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,18 +72,23 @@ def eigentrust_seeded(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", F.round(F.col("lambda") * 1000, 6).alias("lambda_k"))
 
 
+RINGS, RING_STEPS = (5, 20, 50, 100), 10
+
+
 def ring_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Percentile of a boosted author under rings of 5, 20 and 50 puppets, without and with the diversity defence."""
+    """Percentile of a boosted author under rings of 5 to 100 puppets after ten trust steps, without and with the diversity defence."""
     b = Raters(spark, d)
     edges, users = cut(b.edges), cut(b.users)
     target = edges.agg(F.min("dst")).first()[0]
     out = None
-    for size in (5, 20, 50):
+    for size in RINGS:
         puppets = spark.range(size).select(F.concat(F.lit("puppet:"), F.col("id").cast("string")).alias("user_id"))
         all_edges, everyone = cut(rater.ring(edges, puppets, target)), users.unionByName(puppets)
         for defended in (False, True):
-            weights = rater.eigentrust(everyone, all_edges, S, iterations=5, transmit=rater.out_diversity(all_edges) if defended else None)
-            row = rater.percentile_of(weights, target).select(F.lit(size).alias("ring"), F.lit(defended).alias("defended"), F.round("percentile", 4).alias("percentile"))
+            weights = rater.eigentrust(everyone, all_edges, S, iterations=RING_STEPS, transmit=rater.out_diversity(all_edges) if defended else None)
+            # weights within rounding of the target's own are no smaller
+            row = rater.percentile_of(weights.withColumn("lambda", F.round(F.col("lambda") * 1000, 9)), target)
+            row = row.select(F.lit(size).alias("ring"), F.lit(defended).alias("defended"), F.round("percentile", 4).alias("percentile"))
             out = row if out is None else out.unionByName(row)
     return out
 
@@ -312,6 +318,23 @@ def _iterated(n: int, edge: str, tele: str, passed: str = "l") -> str:
     return out
 
 
+def _ring_sql() -> str:
+    """The trust iteration of every ring, without and with the defence; names get the number of the case."""
+    out, rows = _T + ", tg AS (SELECT min(dst) AS target FROM t)", []
+    for size in RINGS:
+        for defended in (False, True):
+            i = len(rows)
+            puppets = f"(SELECT 'puppet:' || i AS user_id FROM range({size}) p(i))"
+            edge = "SELECT src, dst, t * w AS t FROM t JOIN dv USING (src) WHERE t * w > 0" if defended else f"SELECT src, dst, t FROM t WHERE t > 0 UNION ALL SELECT user_id, target, 1.0 FROM {puppets}, tg"
+            case = _iterated(RING_STEPS, edge, f"SELECT user_id, 1.0 / count(*) OVER () AS p FROM (SELECT user_id FROM k UNION ALL SELECT user_id FROM {puppets})")
+            for name in ("g", "u", *[f"{x}{n}" for x in "li" for n in range(RING_STEPS + 1)]):
+                case = re.sub(rf"\b{name}\b(?= AS MAT| ON| JOIN| LEFT|\.| q|\))", f"{name}_{i}", case)
+            out += case
+            own = f"(SELECT round(l * 1000, 9) FROM l{RING_STEPS}_{i}, tg WHERE user_id = target)"
+            rows.append(f"SELECT {size} AS ring, {str(defended).lower()} AS defended, round(avg(CASE WHEN round(l * 1000, 9) < {own} THEN 100.0 ELSE 0.0 END), 4) AS percentile FROM l{RING_STEPS}_{i}")
+    return out + " " + " UNION ALL ".join(rows)
+
+
 _INF = PRE + """, inf AS (SELECT user_id, (abs(x) + 1.0) / sum(abs(x) + 1.0) OVER () AS l FROM k)"""
 _ALI = _INF + """, al AS (SELECT x.*, k.x * CAST(ascii(right(author_id, 1)) % 7 - 3 AS DOUBLE) / 9.0 AS xy FROM x JOIN k USING (user_id)),
   sa AS (SELECT user_id, avg(xy) AS s FROM al GROUP BY 1)"""
@@ -349,6 +372,7 @@ _GRAPH = PRE + """, cl AS (SELECT user_id, post_id, avg(val) AS v FROM v GROUP B
 _GRAPH_R = _GRAPH.replace("FROM v GROUP BY", "FROM r GROUP BY")
 
 SQL = {
+    "ring_sweep": _ring_sql(),
     "trust_edges": _T + "SELECT src, dst, round(t, 6) + 0.0 AS t FROM t",
     "out_diversity": _T + "SELECT src, round(w, 6) + 0.0 AS w FROM dv",
     "eigentrust_10": _T + _iterated(10, "SELECT src, dst, t * w AS t FROM t JOIN dv USING (src) WHERE t * w > 0", "SELECT user_id, 1.0 / count(*) OVER () AS p FROM k")

@@ -31,6 +31,29 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder on any file system Spark knows; none where there is no such folder."""
+    fs, at = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    fs, at = _hadoop(spark, path)
+    return fs.delete(at, True)
+
+
+def touched(spark: SparkSession, path: str) -> None:
+    """An empty file, made in one step."""
+    fs, at = _hadoop(spark, path)
+    fs.create(at, True).close()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or a temporary one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,23 +2,25 @@
 
 `WindowLoop` is a foreachBatch body: each micro-batch appends to the event tables; when a window of processing time is
 over, the engine fits it, publishes the state and rolls the buffers. State tables are versioned, so a restart goes on
-from the last complete version.
+from the last complete version. The event tables of a window lie in a folder of their own, which becomes current by one
+file: a roll is done wholly or not at all.
 """
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brindle.config import SERVICE, SERVICE_KNOBS, Knobs
 from brindle.operators.core import signed_value
 from brindle.plans.window import Engine
+from brindle.session import listed, removed, touched
 from brindle.sources import firehose
 
 
@@ -31,6 +33,8 @@ class Service:
     sample_rate: float = 1.0
     candidates_from_likes: bool = True
     exposure_penalty: float = 0.1
+    slots: int = 50
+    local_rows: int = 1_000_000  # a window of at most so many rows, counted first, is fitted in memory; 0: never
 
 
 def message_stream(spark: SparkSession, path: str, per_trigger: int = 10) -> DataFrame:
@@ -64,42 +68,62 @@ def live_candidates(posts: DataFrame, now: float, s: Service = Service()) -> Dat
     return firehose.latest_posts(posts).select("post_id", "author_id", "created_at").filter(F.col("created_at") >= now - s.horizon_seconds).orderBy(F.desc("created_at"), "post_id").limit(s.max_candidates)
 
 
-def reordered(events: DataFrame, slack_us: int) -> DataFrame:
+def reordered(events: DataFrame, slack_us: int, idle_ms: int | None = None, publish: bool = False) -> DataFrame:
     """Streaming K-slack per `key`: events (key, at_us, payload) are held until the newest of their key is slack_us ahead,
-    then released in order of at_us with their place (seq). Later ones come out at once, marked late."""
-    schema = "key string, seq long, at_us long, payload string, late boolean"
+    then released in order of at_us with their place (seq). Later ones come out at once, marked late. With `publish`, a
+    key's number of events held is given out whenever it gets events (provisional, with the newest instant). With
+    `idle_ms`, a key without events for so long (of processing time) is released to the end; such a query never runs out
+    of batches and is for triggers by interval. A task holds one key's events of one slack.
+    """
+    schema = "key string, seq long, at_us long, payload string, late boolean, provisional long"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, seq, released = ([], 0, -(1 << 62)) if not state.exists else (list(zip(state.get[0], state.get[1])), state.get[2], state.get[3])
-        late = []
-        for f in frames:
-            for at, payload in zip(f["at_us"], f["payload"]):
-                (late if at <= released else held).append((int(at), payload))
-        held.sort()
-        edge = (held[-1][0] if held else released) - slack_us
-        out = [x for x in held if x[0] <= edge]
-        held = held[len(out) :]
-        rows = [(key[0], seq + i, at, p, False) for i, (at, p) in enumerate(out)] + [(key[0], -1, at, p, True) for at, p in late]
-        state.update(([x[0] for x in held], [x[1] for x in held], seq + len(out), max(released, edge)))
-        yield pd.DataFrame(rows, columns=["key", "seq", "at_us", "payload", "late"])
+        at, payload, seq, released = state.get if state.exists else ([], [], 0, -(1 << 62))
+        new = pd.concat([pd.DataFrame({"at": at, "payload": payload}), *[f[["at_us", "payload"]].set_axis(["at", "payload"], axis=1) for f in frames]], ignore_index=True)
+        new = new.astype({"at": "int64"})
+        late, held = new[new["at"] <= released], new[new["at"] > released].sort_values(["at", "payload"], kind="stable")
+        # the last events of a key that has gone quiet follow without their slack
+        edge = (1 << 62) if state.hasTimedOut else (int(held["at"].iloc[-1]) if len(held) else released) - slack_us
+        out, held = held[held["at"] <= edge], held[held["at"] > edge]
+        top = int(out["at"].iloc[-1]) if state.hasTimedOut and len(out) else edge
+        state.update((held["at"].tolist(), held["payload"].tolist(), seq + len(out), max(released, top)))
+        if idle_ms is not None and not state.hasTimedOut:
+            state.setTimeoutDuration(idle_ms)
+        rows = [(key[0], seq + i, a, p, False, None) for i, (a, p) in enumerate(zip(out["at"], out["payload"]))]
+        rows += [(key[0], -1, a, p, True, None) for a, p in zip(late["at"], late["payload"])]
+        if publish and len(held):
+            rows.append((key[0], None, int(held["at"].iloc[-1]), None, None, len(held)))
+        yield pd.DataFrame(rows, columns=["key", "seq", "at_us", "payload", "late", "provisional"]).astype({"seq": "Int64", "provisional": "Int64", "late": "boolean"})
 
     held = "at array<long>, payload array<string>, seq long, released long"
-    return events.groupBy("key").applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("key").applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 class WindowLoop:
     """Processing-time windows over micro-batches: ingest, and fit when a window is over."""
 
-    def __init__(self, spark: SparkSession, root: str, engine: Engine, s: Service = Service(), clock: Callable[[], float] = time.time, vouches: Callable[[DataFrame], DataFrame] | None = None):
-        self.spark, self.root, self.engine, self.s, self.clock, self.vouches = spark, root, engine, s, clock, vouches
+    def __init__(self, spark: SparkSession, root: str, engine: Engine | None = None, s: Service = Service(), clock: Callable[[], float] = time.time, vouches: Callable[[DataFrame], DataFrame] | None = None, identities: Callable[[DataFrame], DataFrame | None] | None = None):
+        """engine: by default of the service's settings. vouches: of the window's posts, further reactions of that kind.
+        identities: of the window's accounts (account_id), their identities (account_id, identity_id), None for none."""
+        self.spark, self.root, self.engine, self.s, self.clock, self.vouches, self.identities = spark, root, engine or Engine(SERVICE), s, clock, vouches, identities
+        self.engine.settings = replace(self.engine.settings, local_rows=s.local_rows)
         self.opened: float | None = None
 
-    def _table(self, name: str) -> str:
-        return os.path.join(self.root, name)
+    def _generation(self) -> int:
+        """Number of the current window's folder: the highest that is marked open."""
+        marked = [n for n in listed(self.spark, self.root) if n.startswith("open-")]
+        return max((int(n[5:]) for n in marked), default=0)
+
+    def _table(self, name: str, generation: int | None = None) -> str:
+        return f"{self.root}/window-{self._generation() if generation is None else generation}/{name}"
+
+    @property
+    def state(self) -> str:
+        return f"{self.root}/state"
 
     def read(self, name: str) -> DataFrame | None:
         path = self._table(name)
-        return self.spark.read.parquet(path) if os.path.isdir(path) and any(n.endswith(".parquet") or "=" in n for n in os.listdir(path)) else None
+        return self.spark.read.parquet(path) if any(n.startswith("batch=") for n in listed(self.spark, path)) else None
 
     def _write(self, name: str, rows: DataFrame, batch: int) -> None:
         """A batch writes its own folder, so that one given again replaces itself."""
@@ -146,28 +170,35 @@ class WindowLoop:
             if rows.limit(1).count():
                 shown = served if served is not None else rows.select("user_id", "post_id").limit(0).withColumns({"slot": F.lit(0), "source": F.lit(""), "propensity": F.lit(0.0)})
                 shown = shown.select(F.xxhash64("user_id", "post_id", "slot").alias("ordinal"), "user_id", "post_id", F.lit(0.0).alias("timestamp"), "slot", "source", "propensity")
-                self.engine.fit_window(rows, posts, shown)
-                self.engine.save(self._table("state"))
+                accounts = posts.select(F.col("author_id").alias("account_id")).union(rows.select("user_id")).distinct()
+                self.engine.fit_window(rows, posts, shown, self.identities(accounts) if self.identities else None)
+                self.engine.save(self.state)
         self.roll(now)
 
+    def serve(self, offered: DataFrame, knobs: Knobs = SERVICE_KNOBS, extras: DataFrame | None = None, slots: int | None = None) -> DataFrame | None:
+        """Feeds from the live posts among those offered to each viewer (user_id, post_id), newest first; None before the first fit."""
+        posts = self.read("posts")
+        if self.engine.fitted is None or posts is None:
+            return None
+        live = live_candidates(posts, self.clock(), self.s)
+        order = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), "post_id"))
+        rows = offered.select("user_id", "post_id").distinct().join(live, "post_id").select("user_id", order.alias("pos"), "post_id")
+        return self.engine.rank(rows, knobs, slots or self.s.slots, live.select("post_id", "author_id"), extras)
+
     def roll(self, now: float) -> None:
         """Closes the window: reactions and served rows go, posts stay within the horizon; the clock moves on in any case."""
+        old = self._generation()
         posts = self.read("posts")
+        removed(self.spark, f"{self.root}/window-{old + 1}")  # left by a roll that did not end
         if posts is not None:
             # one row per post first: a like must not bring back a post known to be older
             kept = firehose.latest_posts(posts, self.s.max_posts).filter(F.col("created_at") >= now - self.s.horizon_seconds)
-            kept.write.mode("overwrite").parquet(self._table("kept"))
-            self._clear("posts")
-            self.spark.read.parquet(self._table("kept")).write.mode("overwrite").parquet(f"{self._table('posts')}/batch=-1")
-        self._clear("reactions")
-        self._clear("served")
+            kept.write.parquet(f"{self._table('posts', old + 1)}/batch=-1")
+        touched(self.spark, f"{self.root}/open-{old + 1}")
+        removed(self.spark, f"{self.root}/window-{old}")
+        removed(self.spark, f"{self.root}/open-{old}")
         self.opened = now
 
-    def _clear(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._table(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
     def start(self, messages: DataFrame, checkpoint: str, trigger: str | None = None):
         """The streaming query; without a trigger interval it handles what is there and stops."""
         writer = messages.writeStream.foreachBatch(self.ingest).option("checkpointLocation", checkpoint)

@@ -213,6 +213,44 @@ def test_metrics_edge_cases(spark):
     assert sorted((r["v"], r["r"]) for r in ranks.collect()) == [(1.0, 1.0), (3.0, 2.5), (3.0, 2.5)]
 
 
+def test_polarity_is_that_of_the_filled_matrix(spark):
+    rng = np.random.default_rng(7)
+    m = np.where(rng.random((12, 9)) < 0.6, np.outer(np.sign(np.arange(12) - 5.5), rng.choice([-1, 1], 9)) + 0.3 * rng.normal(size=(12, 9)), np.nan)
+    rows = [(f"u{i:02d}", f"p{j}", float(m[i, j])) for i in range(12) for j in range(9) if not np.isnan(m[i, j])]
+    got = {r["user_id"]: r["polarity"] for r in simulate.polarity_axis(spark.createDataFrame(rows, "user_id string, post_id string, value double")).collect()}
+    full = np.where(np.isnan(m), np.nanmean(m, 0), m)
+    full = full - full.mean(0) - full.mean(1, keepdims=True) + full.mean()
+    want = np.linalg.svd(full)[0][:, 0]
+    assert abs(abs(want @ np.array([got[f"u{i:02d}"] for i in range(12)])) - 1) < 1e-6
+
+
+def test_an_anchor_makes_a_biased_log_identifiable(spark):
+    got = {(e, r["corrected"]): r for e in (0.15, 0.001) for seed in (0,) for r in simulate.mnar_experiment(spark, 80, 40, e, 50, seed).collect()}
+    assert got[0.15, True]["ranking"] > got[0.15, False]["ranking"] and got[0.15, True]["ranking"] > got[0.001, True]["ranking"]
+
+
+def test_authors_keep_a_style_only_if_reach_did_not_fall():
+    a, rng = simulate.cast(1)[0], np.random.default_rng(0)
+    a.trial(0.5, rng)
+    first = a.style.copy()
+    a.judge(3.0)
+    a.trial(0.5, rng)
+    a.judge(2.0)
+    assert np.allclose(a.style, first) and a.volume() == 2 and [x.volume() for x in simulate.cast(4)] == [2, 2, 2, 6]
+
+
+def test_toxic_posts_draw_reactions_and_quality_draws_vouches(spark):
+    people = simulate.population(spark, 60)
+    posts = simulate.posts_of(simulate.authors(spark), 0)
+    shown = people.crossJoin(posts).cache()
+    pull = {r["author_id"]: r["p"] for r in shown.withColumn("p", simulate.reaction_pull()).groupBy("author_id").agg(F.avg("p").alias("p")).collect()}
+    assert max(pull, key=pull.get) == "a4"
+    merit = {r["author_id"]: r["v"] for r in simulate.vouch(shown).join(posts, "post_id").groupBy("author_id").agg(F.avg("value").alias("v")).collect()}
+    assert merit["a0"] > 0.5 and merit["a5"] < -0.5
+    worth = {r["author_id"]: r for r in simulate.welfare(shown).join(posts.select("post_id", "author_id"), "post_id").groupBy("author_id").agg(F.avg("true_value").alias("true_value"), F.avg("divisiveness").alias("divisiveness")).collect()}
+    assert worth["a0"]["true_value"] > worth["a5"]["true_value"] > worth["a4"]["true_value"] * 0.1 and worth["a4"]["divisiveness"] > worth["a1"]["divisiveness"] * 0.9
+
+
 def test_simulated_loop(spark):
     w = simulate.World(users=12, windows=2, slots=3)
     chrono, oracle = (simulate.run(spark, r, w) for r in (simulate.ChronologicalRanker(3), simulate.OracleRanker(3)))
@@ -230,7 +268,7 @@ def test_served_candidates_take_stamps_of_any_unit(spark, tmp_path):
     t = 1_731_196_769.0
     rows = [("s", t - 60), ("ms", (t - 30) * 1e3), ("us", t * 1e6), ("ns", (t - 90) * 1e9), ("old", (t - 21_601) * 1e3), ("none", 0.0), ("nan", float("nan"))]
     spark.createDataFrame([(p, "a", at, None) for p, at in rows], "post_id string, author_id string, created_at double, features map<string,double>").write.parquet(str(tmp_path / "posts.parquet"))
-    got = [(r["post_id"], r["created_at"]) for r in registry.queries()["served_candidates_any_unit"](spark, str(tmp_path)).collect()]
+    got = [(r["post_id"], r["created_at"]) for r in registry.queries()["served_candidates"](spark, str(tmp_path)).collect()]
     assert got == [("us", t), ("ms", t - 30), ("s", t - 60), ("ns", t - 90)]
 
 

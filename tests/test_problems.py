@@ -132,6 +132,17 @@ def test_fractions_units_and_leap_days():
     assert got == [us(datetime(2024, 2, 29, tzinfo=UTC)) + 123456, 1727916538250000, 1727916538123000, 1727916538123456, day, day]
 
 
+def test_long_and_foreign_zone_names_far_years_and_long_fractions():
+    noon = us(datetime(2024, 10, 3, 10, tzinfo=UTC))
+    names = ("Mitteleuropäische Sommerzeit", "Central European Summer Time, as printed by a client that likes to say very much", "中欧夏令时间", "")
+    assert parse(*[(f"Thu Oct 03 2024 12:00:00 GMT+0200 ({n})", None, None, None) for n in names]) == [noon] * 4
+    berlin = [us(datetime(y, 7, 1, 12, tzinfo=ZoneInfo("Europe/Berlin")).astimezone(UTC)) for y in (2059, 2061, 2099)]
+    assert parse(*[(f"{y}-07-01 12:00:00", "Europe/Berlin", None, None) for y in (2059, 2061, 2099)]) == berlin
+    far, old = us(datetime(9998, 7, 1, 10, tzinfo=UTC)), us(datetime(1900, 7, 1, 11, tzinfo=UTC))
+    assert parse(("9998-07-01 12:00:00", "Europe/Berlin", None, None), ("1900-07-01 12:00:00", "Europe/Berlin", None, None)) == [far, old]
+    assert parse(("2024-10-03T10:00:00." + "0" * 300 + "Z", None, None, None)) == [noon]
+
+
 def test_number_units(spark):
     rows = spark.createDataFrame([(1, 1727916538.0), (2, 1727916538123.0), (3, float("nan")), (4, 0.0), (5, -1.0), (6, None), (7, float("inf")), (8, 1727916538.000001)], "k int, x double")
     assert [r[0] for r in rows.orderBy("k").select(double_us(F.col("x"))).collect()] == [1727916538000000, 1727916538123000, None, None, None, None, None, 1727916538000001]
