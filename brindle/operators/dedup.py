@@ -59,13 +59,17 @@ def bit_is_set(bits: Column, code: Column) -> Column:
     return F.coalesce(F.call_function("bit_get", byte, F.pmod(position, F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
-def marked(rows: DataFrame, code: str, seen: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def marked(rows: DataFrame, code: str, seen: DataFrame, by: Sequence[str] = (), spread: Column | None = None) -> DataFrame:
     """rows + __seen: whether the row's code is set in the bitmaps `seen` (as made by `bitmaps`).
 
-    Never by broadcast: compressed bitmaps look many times smaller than they are.
+    Never by broadcast: compressed bitmaps look many times smaller than they are. Rows without a code meet no bitmap;
+    a hash of each such row, `spread`, keeps them from coming together in one task.
     """
     held = seen.select(*[F.col(c).alias(f"__s_{c}") for c in by], F.col("bucket").alias("__s_bucket"), F.col("bits").alias("__s_bits"))
-    rows = rows.withColumn("__bucket", _bucket(F.col(code)))
+    bucket = _bucket(F.col(code))
+    if spread is not None:  # below every bucket of a code
+        bucket = F.coalesce(bucket, F.lit(-(1 << 62)) + F.pmod(spread, F.lit(1 << 40)))
+    rows = rows.withColumn("__bucket", bucket)
     on = F.col("__bucket") == F.col("__s_bucket")
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
@@ -234,7 +238,7 @@ class SeenStore:
         encoded = folded.select("id", page.alias("page"), F.coalesce("id.number", "__code").alias("code"), arrival)
         seen = self._read(state["bitmaps"])
         if seen is not None:
-            encoded = marked(encoded, "code", united(seen, ["page"]), ["page"]).filter(~F.col("__seen")).drop("__seen")
+            encoded = marked(encoded, "code", united(seen, ["page"]), ["page"], F.xxhash64("id")).filter(~F.col("__seen")).drop("__seen")
         # new identifiers get the next numbers of this delivery's page; as written they are final
         fresh = F.col("code").isNull()
         new = encoded.select(
