@@ -235,6 +235,25 @@ def test_period_aggregates_merge_slices(spark):
         assert r["longest_gap_us"] == max(b[0] - a[0] for a, b in zip(out, out[1:]))
 
 
+def test_buffers_publish_what_they_hold_at_the_end_of_the_grace(spark):
+    rng = np.random.default_rng(5)
+    hour = 3600 * 10**6
+    rows = [("st"[i % 2], i, int(h), int(h + a)) for i, (h, a) in enumerate(zip(rng.integers(0, 4 * hour, 900), rng.exponential(hour, 900)))]
+    rows += [("s", 5000 + i, int(h), int(h) + 3 * hour) for i, h in enumerate(range(0, hour, hour // 7))]
+    events = spark.createDataFrame(rows, "src string, row_id long, happened_us long, arrived_us long").repartition(3)
+    got = lateness.kslack(events, publish=["src"]).collect()
+    told: dict = {}
+    for r in got:
+        if r["verdict"] == "provisional":
+            told[r["src"], r["period_us"]] = told.get((r["src"], r["period_us"]), 0) + r["held"]
+    want: dict = {}
+    for s, _, h, a in rows:
+        p = h // hour * hour
+        if a <= p + hour + lateness.Slack().grace_us:
+            want[s, p] = want.get((s, p), 0) + 1
+    assert told == want and sum(r["verdict"] != "provisional" for r in got) == len(rows)
+
+
 # ---------------------------------------------------------------------------------------------
 # skew
 
@@ -277,3 +296,28 @@ def test_seen_store_over_deliveries(spark, tmp_path):
             kept |= {r["row_id"] for r in store.ingest(part, ident, "row_id", number).collect()}
         assert store.ingest(rows, ident, "row_id", number).count() == 0  # given again
     assert kept == want
+
+
+def test_deliveries_through_the_store_give_the_copies_of_one_grouping(spark):
+    f, r = table(spark, DATA, "firehose"), table(spark, DATA, "reactions")
+    commits, (numbered, plain) = dedup.commit_messages(f), dedup.reaction_messages(r)
+    arrivals = commits.select("src", "row_id").union(r.select(F.lit("reactions"), "ordinal"))
+    parts = [(commits, ["did", "rev", "collection", "rkey"]), (numbered, ["shard", "msg_id"]), (plain, ["user_id", "post_id", "kind", "timestamp"])]
+    want = {tuple(x) for x in dedup.redundant_arrivals(parts, arrivals, "src", "row_id").collect()}
+    for n in (1, 4):
+        assert {tuple(x) for x in dedup.redundant_messages(f, r, n).collect()} == want
+
+
+def test_of_two_deliveries_at_once_one_is_published(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, n long")
+    store, other = (dedup.SeenStore(spark, str(tmp_path / "s")) for _ in range(2))
+    before = other.current()
+    assert {r["n"] for r in store.ingest(rows, ["k"], "n").collect()} == {1, 2}
+    other.current = lambda: before
+    with pytest.raises(RuntimeError):
+        other.ingest(spark.createDataFrame([("c", 4)], "k string, n long"), ["k"], "n")
+    assert {r["n"] for r in store.kept().collect()} == {1, 2}
+    # bits are united in time, and nothing comes back
+    for i in range(9):
+        assert [r["n"] for r in store.ingest(spark.createDataFrame([("a", 90), (f"x{i}", 100 + i)], "k string, n long"), ["k"], "n").collect()] == [100 + i]
+    assert len(store.current()["bitmaps"]) < store.COMPACT
