@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -142,14 +143,48 @@ def dense_slice(reactions: DataFrame, n_users: int, n_items: int) -> DataFrame:
 
 
 def balanced_auc(rows: DataFrame, score: str, label: str, key: str, draws: int = 25, seed: int = 0) -> DataFrame:
-    """One row: mean AUC, to nine digits, over draws that take as many of the larger class as the smaller has (by hash of key and draw)."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    least = sizes.agg(F.min("n").alias("n")).scalar()
-    drawn = rows.select(key, score, label, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    order = F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), F.col(key))
-    dealt = drawn.select(F.struct("draw", label).alias("key"), order.alias("value"), F.lit(1).alias("n"), "draw", score, label)
-    taken = cumulated(dealt).filter(F.col("run") <= least).select("draw", score, label)
-    return auc(taken, score, label, ["draw"]).agg(F.round(F.avg("auc"), 9).alias("balanced_auc"))
+    """One row: mean AUC, to nine digits, over draws that take as many of the larger class as the smaller has (by hash of key and draw).
+
+    The smaller class is whole in every draw, so what a row of the larger one adds to the AUC (the share of the smaller
+    that its score beats, ties half) is the same in each draw: rows are read with that share, and a draw is a sum over
+    the rows up to its last hash. That one is found by counts of the hashes' leading digits and the order of the
+    few rows that share the digits in question; no draw is dealt out as rows.
+    """
+    pos = F.coalesce(F.col(label) == 1, F.lit(False))
+    held = cut(rows.select(F.col(key).alias("key"), F.col(score).cast("double").alias("score"), pos.alias("pos")))
+    sizes = {r["pos"]: (r["n"], r["known"]) for r in held.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("known")).collect()}
+    if len(sizes) < 2:
+        return held.sparkSession.createDataFrame([(0.5 if sizes else None,)], "balanced_auc double")
+    small = min(sizes, key=lambda x: sizes[x][0])
+    least, known = sizes[small]
+    per_score = held.filter("score IS NOT NULL").groupBy("score").agg(F.sum((F.col("pos") == F.lit(small)).cast("long")).alias("n"))
+    beaten = cumulated(per_score.select(F.lit(0).alias("key"), F.col("score").alias("value"), "n"))
+    beaten = beaten.select(F.col("value").alias("score"), (F.col("run") - F.col("n") / 2.0).alias("beaten"))
+    large = held.filter(F.col("pos") != F.lit(small))
+
+    # three digits at most: a task's counts are 4096 a draw
+    digits = min(3, max(1, round(math.log(max(sizes[not small][0] / 256, 1), 16))))
+    head = F.substring("hash", 1, digits)
+
+    def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+        """columns + draw, hash: each row in each draw, to be reduced where it is made."""
+        hashes = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.md5(F.concat_ws("|", F.col("key").cast("string"), k.cast("string"), F.lit(str(seed)))))
+        return rows.select(*columns, F.posexplode(hashes).alias("draw", "hash"))
+
+    counts = dealt(large).groupBy("draw", head.alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("run", F.sum("n").over(Window.partitionBy("draw").orderBy("head")))
+    last = counts.filter((F.col("run") >= least) & (F.col("run") - F.col("n") < least)).collect()
+    ends = F.create_map(*[F.lit(x) for r in last for x in (r["draw"], r["head"])])[F.col("draw")]
+    missing = F.create_map(*[F.lit(x) for r in last for x in (r["draw"], least - (r["run"] - r["n"]))])[F.col("key")]
+    whole = dealt(large.join(beaten, "score"), "key", "beaten").filter(head < ends).groupBy("draw").agg(F.sum("beaten").alias("beaten"), F.count(F.lit(1)).alias("n"))
+    # the rows that share the digits of a draw's last row, in the draw's order
+    near = dealt(large, "key", "score").filter(head == ends).groupBy(F.col("draw").alias("key"), F.struct("hash", "key", "score").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    taken = F.least(F.col("n"), F.greatest(missing - (F.col("run") - F.col("n")), F.lit(0)))
+    near = cumulated(near).select(F.col("key").alias("draw"), F.col("value.score").alias("score"), taken.alias("n")).filter("n > 0").join(beaten, "score")
+    near = near.groupBy("draw").agg(F.sum(F.col("n") * F.col("beaten")).alias("beaten"), F.sum("n").alias("n"))
+    share = F.sum("beaten") / F.sum("n") / F.lit(float(known))
+    found = whole.unionByName(near).groupBy("draw").agg((1.0 - share if small else share).alias("auc"))
+    return found.agg(F.round(F.coalesce(F.avg("auc"), F.lit(0.5)), 9).alias("balanced_auc"))
 
 
 def churn(feeds: DataFrame) -> DataFrame:

@@ -52,6 +52,10 @@ def with_exposure(reactions: DataFrame, exposures: DataFrame) -> DataFrame:
     return reactions.join(exposures.select("user_id", "post_id", "slot", "source", "propensity"), ["user_id", "post_id"], "left")
 
 
+def inverse(pi: Column, w_max: float = 20.0) -> Column:
+    return F.least(F.lit(1.0) / F.greatest(pi, F.lit(1e-12)), F.lit(float(w_max)))
+
+
 def ipw_weights(
     exposed: DataFrame,
     pi: Column,
@@ -65,7 +69,7 @@ def ipw_weights(
     Raters without a lambda get (1 - delta) / rows. Weights that sum to 0 are not rescaled.
     """
     rows = exposed
-    factor = F.least(F.lit(1.0) / F.greatest(pi, F.lit(1e-12)), F.lit(float(w_max)))
+    factor = inverse(pi, w_max)
     if reliability is not None:
         factor = factor * reliability
     if rater_lambda is None:
@@ -89,5 +93,4 @@ def doubly_robust(pairs: DataFrame, by: list[str], w_max: float = 20.0) -> DataF
 
     pairs: *by, imputed, value (NULL where unobserved), pi. The inverse propensity is clipped to w_max.
     """
-    inverse = F.least(F.lit(1.0) / F.greatest(F.col("pi"), F.lit(1e-12)), F.lit(float(w_max)))
-    return pairs.groupBy(*by).agg(F.avg(F.col("imputed") + F.coalesce(inverse * (F.col("value") - F.col("imputed")), F.lit(0.0))).alias("estimate"))
+    return pairs.groupBy(*by).agg(F.avg(F.col("imputed") + F.coalesce(inverse(F.col("pi"), w_max) * (F.col("value") - F.col("imputed")), F.lit(0.0))).alias("estimate"))

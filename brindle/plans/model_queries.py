@@ -237,7 +237,9 @@ def auc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def balanced_auc(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.balanced_auc(_judged(Raters(spark, d)), "score", "label", "ordinal")
+    b = Raters(spark, d)
+    rows = b.reactions.select("ordinal", "post_id", F.when(F.col("value") > 0, 1).otherwise(0).alias("label"))
+    return metrics.balanced_auc(rows.join(b.folded_scores.select("post_id", F.round("b_lcb", 9).alias("score")), "post_id"), "score", "label", "ordinal")
 
 
 def ndcg_at_5(spark: SparkSession, d: str) -> DataFrame:

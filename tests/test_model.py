@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import replace
 
 import numpy as np
@@ -213,6 +214,27 @@ def test_metrics_edge_cases(spark):
     assert sorted((r["v"], r["r"]) for r in ranks.collect()) == [(1.0, 1.0), (3.0, 2.5), (3.0, 2.5)]
 
 
+@pytest.mark.parametrize("many", [0, 1])
+def test_balanced_auc_deals_out_no_draws(spark, monkeypatch, many):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(rng.random() < 0.2) ^ many, float(np.round(rng.normal(), 1))) for k in range(600)]
+    draws = []
+    for draw in range(25):
+        by = {c: sorted((hashlib.md5(f"{k}|{draw}|0".encode()).hexdigest(), k, x) for k, l, x in rows if l == c) for c in (0, 1)}
+        n = min(map(len, by.values()))
+        neg, pos = (np.array([x for *_, x in by[c][:n]]) for c in (0, 1))
+        draws.append(np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)))
+    met, real = [], metrics.cumulated
+    monkeypatch.setattr(metrics, "cumulated", lambda pairs: met.append(pairs.count()) or real(pairs))
+    table = spark.createDataFrame(rows, "k int, l int, s double")
+    assert abs(metrics.balanced_auc(table, "s", "l", "k").first()[0] - np.mean(draws)) < 2e-9
+    assert sum(met) < 2 * len(rows)  # not 25 times
+    assert metrics.balanced_auc(table.filter("l = 1"), "s", "l", "k").first()[0] == 0.5
+    # of rows that share a key as many are taken as the smaller class has
+    same = spark.createDataFrame([(1, 0, 0.0), (1, 0, 0.0), (1, 0, 0.0), (2, 1, 1.0)], "k int, l int, s double")
+    assert metrics.balanced_auc(same, "s", "l", "k").first()[0] == 1.0
+
+
 def test_polarity_is_that_of_the_filled_matrix(spark):
     rng = np.random.default_rng(7)
     m = np.where(rng.random((12, 9)) < 0.6, np.outer(np.sign(np.arange(12) - 5.5), rng.choice([-1, 1], 9)) + 0.3 * rng.normal(size=(12, 9)), np.nan)
