@@ -154,6 +154,24 @@ def test_morans_i_by_blocks_is_that_of_the_edges(spark, size):
     assert got["edges"] == edges.filter("w > 1e-9").count() > 0 and abs(got["morans_i"] - monitor.morans_i(values, edges).first()[0]) < 1e-9
 
 
+@pytest.mark.parametrize("pairs, tile", [(40, 7), (4_000_000, 200_000)])
+def test_edges_are_made_without_a_shuffle_of_pairs(spark, pairs, tile):
+    rng = np.random.default_rng(8)
+    cells = {(f"u{u}", f"p{p}"): float(np.round(v, 1)) for u, p, v in zip(rng.integers(0, 25, 150), rng.geometric(0.2, 150), rng.normal(size=150))}
+    reactions = spark.createDataFrame([(u, p, v) for (u, p), v in cells.items()], "user_id string, post_id string, value double")
+    wanted = sorted({u for u, _ in cells} - {"u3"})
+    got = monitor.coreaction_edges(reactions, spark.createDataFrame([(u,) for u in wanted], "user_id string"), pairs, tile)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [u#" not in plan and "RepartitionByExpression [block" in plan
+    posts = sorted({p for _, p in cells})
+    vector = {u: np.array([cells.get((u, p), 0.0) for p in posts]) for u in wanted}
+    vector = {u: x - x.mean() for u, x in vector.items()}
+    cosine = {(u, v): vector[u] @ vector[v] / np.linalg.norm(vector[u]) / np.linalg.norm(vector[v]) for u in wanted for v in wanted if u != v and any((u, p) in cells and (v, p) in cells for p in posts)}
+    want = {k: w for k, w in cosine.items() if w > 1e-12}
+    rows = {(r["u"], r["v"]): r["w"] for r in got.filter("w > 1e-12").collect()}
+    assert rows.keys() == want.keys() and len(want) > 50 and max(abs(rows[k] - want[k]) for k in want) < 1e-12 and got.filter("w > 1e-12").count() == len(want)
+
+
 def test_hot_posts_of_a_pair_of_blocks_count_as_the_others():
     rng = np.random.default_rng(2)
     block = monitor._pack(pd.DataFrame({"block": 0, "user_id": [f"u{i % 30}" for i in range(90)], "p": [i // 30 for i in range(90)], "v": rng.normal(size=90), "m": 0.1, "z": 1.0}))["payload"][0]
