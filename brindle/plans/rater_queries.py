@@ -281,7 +281,7 @@ def morans_i(spark: SparkSession, d: str) -> DataFrame:
     """Autocorrelation of the vouchers' opinion coordinates on their co-reaction graph."""
     b = Raters(spark, d)
     values = _few_reactors(b).select("user_id", (F.ascii(F.substring("user_id", -1, 1)) % 7 - 3).cast("double").alias("value"))
-    return monitor.morans_i(cut(values), cut(monitor.coreaction_edges(b.vouches, _few_reactors(b)))).select(r6("morans_i").alias("morans_i"))
+    return monitor.morans_i_by_blocks(b.vouches, cut(values)).select(r6("morans_i").alias("morans_i"))
 
 
 def morans_i_approvals(spark: SparkSession, d: str) -> DataFrame:

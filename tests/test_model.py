@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.config import Knobs, Settings
-from brindle.plans import model_queries, registry
+from brindle.plans import model_queries, rater_queries, registry
 from brindle.plans.window import Engine
 from brindle.operators import core, economy, factorization, feed, geometry, metrics, monitor, propensity, rater, reception, simulate
 from tests.conftest import DATA
@@ -172,6 +172,15 @@ def test_edges_are_made_without_a_shuffle_of_pairs(spark, pairs, tile):
     assert rows.keys() == want.keys() and len(want) > 50 and max(abs(rows[k] - want[k]) for k in want) < 1e-12 and got.filter("w > 1e-12").count() == len(want)
 
 
+def test_morans_i_writes_no_edges(spark, monkeypatch):
+    b = rater_queries.Raters(spark, DATA)
+    users = b.vouches.select("user_id").distinct()
+    values = users.select("user_id", (F.ascii(F.substring("user_id", -1, 1)) % 7 - 3).cast("double").alias("value"))
+    want = monitor.morans_i(values, monitor.coreaction_edges(b.vouches, users)).first()[0]
+    monkeypatch.delattr(monitor, "coreaction_edges")
+    assert abs(registry.queries()["morans_i"](spark, DATA).first()[0] - want) < 1e-6 and want != 0
+
+
 def test_hot_posts_of_a_pair_of_blocks_count_as_the_others():
     rng = np.random.default_rng(2)
     block = monitor._pack(pd.DataFrame({"block": 0, "user_id": [f"u{i % 30}" for i in range(90)], "p": [i // 30 for i in range(90)], "v": rng.normal(size=90), "m": 0.1, "z": 1.0}))["payload"][0]
