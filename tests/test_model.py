@@ -14,6 +14,7 @@ from brindle.config import Knobs, Settings
 from brindle.plans import model_queries, rater_queries, registry
 from brindle.plans.window import Engine
 from brindle.operators import core, economy, factorization, feed, geometry, metrics, monitor, propensity, rater, reception, simulate
+from brindle.session import listed
 from tests.conftest import DATA
 
 S = Settings(d=2, mf_iterations=2, mf_tolerance=-1.0)
@@ -241,6 +242,27 @@ def test_metrics_edge_cases(spark):
     assert sorted((r["v"], r["r"]) for r in ranks.collect()) == [(1.0, 1.0), (3.0, 2.5), (3.0, 2.5)]
 
 
+def test_sweeps_leave_nothing_behind_and_crowds_change_nothing(spark, world, monkeypatch):
+    kept, real = [], factorization.cut
+
+    def cut(df):
+        out = real(df)
+        kept.append(out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+        return out
+
+    monkeypatch.setattr(factorization, "cut", cut)
+    left = []
+    for sweeps in (1, 3):
+        kept.clear()
+        m = factorization.fit(world, S, sweeps=sweeps)
+        left.append(sum(bool(listed(spark, k)) for k in kept))
+    assert left[0] == left[1]  # not the tables of each sweep
+    monkeypatch.setattr(factorization, "CROWD", 1)
+    n = factorization.fit(world, S, sweeps=3)
+    a, b = ({r["post_id"]: (r["b_p"], *r["y"]) for r in x.posts.collect()} for x in (m, n))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-9) for k in a) and abs(m.rmse - n.rmse) < 1e-9
+
+
 @pytest.mark.parametrize("many", [0, 1])
 def test_balanced_auc_deals_out_no_draws(spark, monkeypatch, many):
     rng = np.random.default_rng(4)
