@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brindle.config import Knobs, Settings
 from brindle.plans import model_queries, rater_queries, registry
 from brindle.plans.window import Engine
-from brindle.operators import core, economy, factorization, feed, geometry, metrics, monitor, propensity, rater, reception, simulate
+from brindle.operators import blocks, core, economy, factorization, feed, geometry, metrics, monitor, propensity, rater, reception, simulate
 from brindle.session import listed
 from tests.conftest import DATA
 
@@ -263,6 +263,40 @@ def test_sweeps_leave_nothing_behind_and_crowds_change_nothing(spark, world, mon
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-9) for k in a) and abs(m.rmse - n.rmse) < 1e-9
 
 
+def test_a_sweep_is_one_table(world, monkeypatch):
+    made = []
+    for module in (factorization, blocks):
+        monkeypatch.setattr(module, "cut", lambda df, real=module.cut: made.append(df) or real(df))
+    counts = []
+    for sweeps in (1, 3):
+        made.clear()
+        factorization.fit(world, S, sweeps=sweeps)
+        counts.append(len(made))
+    assert counts[1] - counts[0] == 2
+
+
+def test_many_blocks_with_hot_posts_fit_as_in_memory(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    ids = zip(rng.integers(0, 60, 900), np.minimum(rng.geometric(0.04, 900), 50))
+    rows = [(f"u{u}", f"p{p}", f"a{p % 11}", float(rng.choice([1.0, 0.5, -1.0])), float(rng.random())) for u, p in ids]
+    rows = spark.createDataFrame(rows, "user_id string, post_id string, author_id string, value double, weight double")
+    s = replace(S, d=3)
+    monkeypatch.setattr(blocks, "ROWS", 200)
+    monkeypatch.setattr(blocks, "HOT", 4)
+    monkeypatch.setattr(factorization, "_vectors", None)  # never joined row by row
+    a, b = (factorization.fit(rows, s, local_rows=n) for n in (1000, 0))
+    assert abs(a.mu - b.mu) < 1e-12 and abs(a.rmse - b.rmse) < 1e-12
+    for name, bias, vector in (("users", "b_u", "x"), ("posts", "b_p", "y"), ("authors", "b_a", None)):
+        x, y = ({r[0]: (r[bias], *(r[vector] if vector else ())) for r in getattr(m, name).collect()} for m in (a, b))
+        assert x.keys() == y.keys() and all(np.allclose(x[k], y[k], atol=1e-9) for k in x)
+
+
+def test_singular_systems_get_the_least_norm_solution():
+    v = np.array([[1.0, 2.0, 0.5], [2.0, 4.0, 1.0]])
+    x, explained = blocks._solved(blocks._equations(np.array([0]), v, np.ones(3), 2.0 * v[0], False), 2, 0.0)
+    assert np.allclose(x[:, 0], [0.4, 0.8]) and np.allclose(explained, 4 * (v[0] ** 2).sum())
+
+
 @pytest.mark.parametrize("many", [0, 1])
 def test_balanced_auc_deals_out_no_draws(spark, monkeypatch, many):
     rng = np.random.default_rng(4)
