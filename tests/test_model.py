@@ -291,6 +291,16 @@ def test_many_blocks_with_hot_posts_fit_as_in_memory(spark, monkeypatch):
         assert x.keys() == y.keys() and all(np.allclose(x[k], y[k], atol=1e-9) for k in x)
 
 
+def test_kernels_in_memory_fetch_no_row_objects(spark, world, monkeypatch):
+    monkeypatch.setattr(type(world), "toPandas", None)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        assert factorization.fit(world, S, local_rows=1000).sweeps == 2
+        assert geometry.spectral_partition(world, 2, local_rows=1000).count() == 10
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+
+
 def test_singular_systems_get_the_least_norm_solution():
     v = np.array([[1.0, 2.0, 0.5], [2.0, 4.0, 1.0]])
     x, explained = blocks._solved(blocks._equations(np.array([0]), v, np.ones(3), 2.0 * v[0], False), 2, 0.0)
