@@ -301,6 +301,24 @@ def test_kernels_in_memory_fetch_no_row_objects(spark, world, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
 
 
+def test_windows_beyond_the_bound_fetch_none_of_their_tables(spark, world, monkeypatch):
+    for module in (geometry, rater):
+        monkeypatch.setattr(module, "fetched", None)
+
+    def fit(*a, local_rows):
+        raise InterruptedError(local_rows)
+
+    monkeypatch.setattr(factorization, "fit", fit)
+    rows = world.select((F.row_number().over(core.Window.orderBy("user_id", "post_id"))).cast("long").alias("ordinal"), "user_id", "post_id", "value", F.lit("boost").alias("kind"), F.lit(0.0).alias("ts"))
+    posts = world.select("post_id", "author_id").distinct()
+    shown = rows.select("ordinal", "user_id", "post_id", F.lit(0.0).alias("timestamp"), F.lit(1).alias("slot"), F.lit("organic").alias("source"), F.lit(0.5).alias("propensity"))
+    with pytest.raises(InterruptedError, match="^0$"):
+        Engine(replace(S, local_rows=29)).fit_window(rows, posts, shown)  # 30 rows of 10 users
+    users = spark.range(40).select(F.concat(F.lit("u"), "id").alias("user_id"))
+    edges = spark.createDataFrame([("u1", "u2", 1.0)], "src string, dst string, t double")
+    assert rater.eigentrust(users, edges, S, iterations=1, local_rows=20).count() == 40
+
+
 def test_singular_systems_get_the_least_norm_solution():
     v = np.array([[1.0, 2.0, 0.5], [2.0, 4.0, 1.0]])
     x, explained = blocks._solved(blocks._equations(np.array([0]), v, np.ones(3), 2.0 * v[0], False), 2, 0.0)
